@@ -15,10 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The model's bounds: labelled rows looked at for each language, characters of each of them, bytes of a dictionary.
-ROWS_PER_LANGUAGE, CHARS_PER_ROW, DICTIONARY_BYTES = 400, 2000, 160_000
-LEVEL, BLOCK = 1, 16_384
+ROWS_PER_LANGUAGE, CHARS_PER_ROW, DICTIONARY_BYTES = 400, 2000, 64_000
+BLOCK = 16_384
+#: Matches of four bytes and small tables: syllables count, and starting a text is cheap.
+PARAMETERS = zstandard.ZstdCompressionParameters(
+    window_log=17, hash_log=15, chain_log=15, search_log=3, min_match=4, strategy=zstandard.STRATEGY_LAZY, write_content_size=False
+)
 #: Least lead, as a part of the second smallest size, to be accepted; fewer letters are always rejected.
-MIN_MARGIN, MIN_LETTERS = 0.01, 4
+MIN_MARGIN, MIN_LETTERS = 0.004, 4
 LETTER = re.compile(r"[^\W\d_]")
 NOISE = re.compile(r"[\W\d_]+")
 
@@ -53,8 +57,8 @@ def encoders(model: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstandard.
     out = []
     for lang, content in model:
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        out.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)))
+        d.precompute_compress(compression_params=PARAMETERS)
+        out.append((lang, zstandard.ZstdCompressor(dict_data=d, compression_params=PARAMETERS)))
     return out
 
 
