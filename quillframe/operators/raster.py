@@ -44,18 +44,21 @@ def column_profile(pixels: DataFrame) -> DataFrame:
 def smooth_profile(profile: DataFrame, axis: str = "y", reach: int = 2) -> DataFrame:
     """smooth5: the sum over 2 * reach + 1 places, missing ones zero (that many times the mean).
 
-    Images with fewer places than the kernel get as many places as the kernel has, as a full convolution's middle.
+    Images with fewer places than the kernel get as many places as the kernel has: the middle of a full convolution is
+    as long as its longer operand, and it is moved towards the start then.
     """
     size = 2 * reach + 1
-    n = profile.groupBy("img_id").agg(F.max(axis).alias("last"))
-    # A convolution of "same" length is as long as the longer operand, from the middle of the full one.
-    wide = n.withColumn("len", F.greatest(F.col("last") + 1, F.lit(size))).withColumn("shift", F.when(F.col("last") + 1 < size, F.floor(F.col("last") / 2)).otherwise(F.lit(reach)))
-    grid = wide.select("img_id", "shift", F.explode(F.sequence(F.lit(0), (F.col("len") - 1).cast("int"))).alias(axis))
-    taps = grid.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.col(axis) + F.col("shift") - k)))
-    src = profile.select("img_id", F.col(axis).alias("at"), F.col("ink").alias("part"))
-    own = profile.select("img_id", axis, "ink")
-    summed = taps.join(src, ["img_id", "at"], "left").groupBy("img_id", axis).agg(F.coalesce(F.sum("part"), F.lit(0)).alias("smooth5"))
-    return summed.join(own, ["img_id", axis], "left").select("img_id", axis, F.coalesce("ink", F.lit(0)).alias("ink"), "smooth5")
+    img = Window.partitionBy("img_id")
+    p = profile.withColumn("last", F.max(axis).over(img))
+    short = (F.col(axis) == F.col("last")) & (F.col("last") < size - 1)
+    places = F.when(short, F.sequence(F.col(axis), F.lit(size - 1))).otherwise(F.array(axis))
+    p = p.withColumn("at", F.explode(places)).withColumn("ink", F.when(F.col("at") == F.col(axis), F.col("ink")).otherwise(0))
+    total = lambda shift: F.sum("ink").over(img.orderBy("at").rangeBetween(shift - size + 1, shift))
+    moved = F.floor(F.col("last") / 2)
+    summed = total(reach)
+    for shift in range(reach):
+        summed = F.when((F.col("last") < size - 1) & (moved == shift), total(shift)).otherwise(summed)
+    return p.select("img_id", F.col("at").alias(axis), "ink", summed.alias("smooth5"))
 
 
 def densest_band(pixels: DataFrame) -> DataFrame:
