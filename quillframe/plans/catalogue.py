@@ -107,7 +107,7 @@ def diff_stats(i: Inputs) -> DataFrame:
 
 @query
 def shared_pages(i: Inputs) -> DataFrame:
-    return detect.shared_pages(i.synth().select("pair_id", "page").distinct(), i.pages().where("pair_id % 4 <> 0 or page = 0"))
+    return detect.shared_pages(i.synth().select("pair_id", "page").distinct(), i.pages().join(i.tmpl().select("pair_id", "page").distinct(), ["pair_id", "page"]))
 
 
 @query
@@ -138,7 +138,7 @@ def stamp_layout(i: Inputs) -> DataFrame:
 @query
 def pair_listing(i: Inputs) -> DataFrame:
     n = i.table("supplier").select(F.concat("s_name", F.when(F.col("s_suppkey") % 3 == 0, "_TEMPLATE.pdf").when(F.col("s_suppkey") % 3 == 1, "_B_TEMPLATE.pdf").otherwise(".pdf")).alias("name"))
-    c = i.table("customer").where("c_custkey <= 1000").select(
+    c = i.table("customer").select(
         F.concat(F.lit("Supplier#"), F.lpad(((F.col("c_custkey") % 100) + 1).cast("string"), 9, "0"), F.when(F.col("c_custkey") % 2 == 0, "_B_").otherwise("_"), F.col("c_custkey").cast("string"),
                  F.when(F.col("c_custkey") % 7 == 0, ".PDF").otherwise("_EXECUTED_synthetic.pdf")).alias("name"))
     return pairs.match_pairs(n.unionByName(c))
@@ -228,6 +228,20 @@ def best_attempt(i: Inputs) -> DataFrame:
     return quality.best_attempt(rows, ["line"])
 
 
+@query
+def line_scores(i: Inputs) -> DataFrame:
+    m = i.metrics()
+    return m.select("id", "pk", "sk", (m["n_ink"] / m["n_pixels"] * F.greatest(m["ink_w"], F.lit(1))).alias("score"))
+
+
+@query
+def failure_list(i: Inputs) -> DataFrame:
+    m = i.metrics()
+    reason = quality.verdict(m["w"], m["n_pixels"], m["n_ink"], m["ink_w"], F.lit(0), m["nchar"])
+    rule = F.regexp_extract(reason, "^[a-z_]+", 0)
+    return m.select((m["pk"] % 100).alias("job"), rule.alias("rule")).where("rule <> 'ok'").groupBy("job").agg(F.array_join(F.sort_array(F.collect_list("rule")), ",").alias("failures"))
+
+
 @query
 def batch_chunks(i: Inputs) -> DataFrame:
     return batch.chunked(i.lines(), workers=3).select("job_id", "i", "chunk_id", "start", "pos", batch.line_seed(F.col("seed"), F.col("start"), F.col("pos")).alias("line_seed"))
@@ -249,8 +263,8 @@ def generate_gather(i: Inputs) -> DataFrame:
 
 @query
 def zip_cells(i: Inputs) -> DataFrame:
-    cells = i.synth().where("ord % 3 = 1").select(F.col("pair_id").alias("job_id"), (F.col("page") * 100000 + F.col("ord")).alias("ord"), F.col("text").alias("cell"))
-    return batch.zip_by_position(cells, i.lines().where("i % 4 <> 3").select("job_id", "i", F.col("text").alias("line")), "job_id", "ord", "i")
+    cells = detect.blue_spans(i.synth()).select(F.col("pair_id").alias("job_id"), (F.col("page") * 100000 + F.col("ord")).alias("ord"), F.col("text").alias("cell"))
+    return batch.zip_by_position(cells, i.lines().select("job_id", "i", F.col("text").alias("line")), "job_id", "ord", "i")
 
 
 @query
@@ -285,7 +299,7 @@ def job_patches(i: Inputs) -> DataFrame:
 
 @query
 def job_transitions(i: Inputs) -> DataFrame:
-    return state.transitions(i.jobs().where("not (job_id % 7 = 0 and seq = 1)"), "job_id", "seq").select("job_id", "seq", "status", "previous", "valid")
+    return state.transitions(i.jobs().withColumn("status", F.when((F.col("job_id") % 7 == 0) & (F.col("seq") == 1), "done").otherwise(F.col("status"))), "job_id", "seq").select("job_id", "seq", "status", "previous", "valid")
 
 
 def _styles(i: Inputs) -> DataFrame:
@@ -313,8 +327,8 @@ def style_image(i: Inputs) -> DataFrame:
 
 @query
 def style_upsert(i: Inputs) -> DataFrame:
-    c = i.table("customer").select("c_custkey", "c_name", "c_nationkey")
-    newer = c.where("c_custkey % 10 = 0").withColumn("c_name", F.upper("c_name"))
+    c = i.table("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    newer = c.where("c_mktsegment = 'BUILDING'").withColumn("c_name", F.upper("c_name"))
     return state.upsert_first(c, newer, "c_custkey", "c_nationkey").select("c_custkey", "c_name")
 
 
@@ -332,7 +346,7 @@ def content_ids(i: Inputs) -> DataFrame:
 
 
 def _cells(i: Inputs) -> DataFrame:
-    return i.synth().where("pair_id % 5 = 0").select(
+    return i.synth().select(
         "pair_id", "page", "ord", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_c"), F.col("ord").cast("string")).alias("id"), *detect.RECT,
         F.when(F.col("ord") % 11 != 0, F.col("text")).alias("text"), F.when(F.col("ord") % 4 != 0, F.col("ord") % 3 != 0).alias("enabled"),
     )
@@ -345,7 +359,7 @@ def enabled_lines(i: Inputs) -> DataFrame:
 
 @query
 def cell_overrides(i: Inputs) -> DataFrame:
-    patches = _cells(i).where("ord % 6 = 1").select("pair_id", "id", F.upper("text").alias("text"), F.when(F.col("page") == 0, F.lit(False)).alias("enabled"))
+    patches = _cells(i).where("x0 >= 160").select("pair_id", "id", F.upper("text").alias("text"), F.when(F.col("page") == 0, F.lit(False)).alias("enabled"))
     return state.override_cells(_cells(i), patches, ["pair_id", "id"]).select("pair_id", "id", "text", "enabled")
 
 
@@ -357,14 +371,14 @@ def cells_json(i: Inputs) -> DataFrame:
 
 @query
 def missing_files(i: Inputs) -> DataFrame:
-    p = i.table("part").select(F.col("p_name").alias("name"), "p_partkey")
-    return state.missing_files(p, p.where("p_partkey % 3 <> 0").select("name").distinct(), ["name"])
+    p = i.table("part").select(F.col("p_name").alias("name"), "p_partkey", "p_size")
+    return state.missing_files(p, p.where("p_size > 20").select("name").distinct(), ["name"])
 
 
 @query
 def first_existing(i: Inputs) -> DataFrame:
-    c = i.table("customer").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("priority"), F.col("c_name").alias("path"))
-    return state.first_existing(c, c.where("priority % 7 = 0").select("path"), "grp")
+    c = i.table("customer").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("priority"), F.col("c_name").alias("path"), "c_acctbal")
+    return state.first_existing(c.drop("c_acctbal"), c.where("c_acctbal < 0").select("path"), "grp")
 
 
 @query

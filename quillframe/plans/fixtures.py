@@ -60,7 +60,7 @@ JOBS = """
 select o_orderkey job_id, cast(s as int) seq, case when s = 3 and o_orderstatus = 'P' then 'error'
   when s = 0 then 'queued' when s = 1 then 'calling_modal' when s = 2 then 'stamping' else 'done' end status,
   case when s = 3 and o_orderstatus = 'P' then concat('failed ', cast(o_custkey as string)) end error
-from {orders}, (select 0 s union all select 1 union all select 2 union all select 3) k where s < 3 or o_orderkey % 5 <> 0"""
+from {orders}, (select 0 s union all select 1 union all select 2 union all select 3) k"""
 
 LINES = """
 select l_orderkey job_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 i,

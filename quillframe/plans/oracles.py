@@ -160,7 +160,7 @@ STYLES = (
 )
 CELLS = (
     SYNTH + ", cells as (select pair_id, page, ord, 'p' || page || '_c' || ord id, x0, y0, x1, y1, case when ord % 11 <> 0 then text end as text, "
-    "case when ord % 4 <> 0 then ord % 3 <> 0 end enabled from spans_synth where pair_id % 5 = 0) "
+    "case when ord % 4 <> 0 then ord % 3 <> 0 end enabled from spans_synth) "
 )
 DIGITY = "length(regexp_replace(san, '[^0-9]', '', 'g')) * 10 >= 7 * length(regexp_replace(san, '[^0-9A-Za-z]', '', 'g')) and regexp_matches(san, '[0-9A-Za-z]')"
 BUDGET = (
@@ -203,11 +203,11 @@ SQL = {
     "diff_stats": SPANS + f", {MERGED}, {mapped('merged', 'grp')} select p.pair_id, p.page, count(m.grp) merged, count(f.grp) kept, count(m.grp) filter (where a.grp is null) skipped_no_anchor, "
     "count(m.grp) filter (where a.grp is not null and f.grp is null) skipped_overflow from page_rects p left join merged m on m.pair_id = p.pair_id and m.page = p.page "
     "left join anchors a on a.pair_id = m.pair_id and a.page = m.page and a.grp = m.grp left join fields f on f.pair_id = m.pair_id and f.page = m.page and f.grp = m.grp group by p.pair_id, p.page",
-    "shared_pages": SPANS + " select distinct p.* from page_rects p join spans_synth s on s.pair_id = p.pair_id and s.page = p.page where p.pair_id % 4 <> 0 or p.page = 0",
+    "shared_pages": SPANS + " select distinct p.* from page_rects p join spans_synth s on s.pair_id = p.pair_id and s.page = p.page join spans_tmpl t on t.pair_id = p.pair_id and t.page = p.page",
     "overlay_rects": SYNTH + " select pair_id, page, 'c' || ord id, cast(trunc(x0 * (200 / 72.0::double)) as int) px_x0, cast(trunc(y0 * (200 / 72.0::double)) as int) px_y0, cast(trunc(x1 * (200 / 72.0::double)) as int) px_x1, "
     "cast(trunc(y1 * (200 / 72.0::double)) as int) px_y1, case when ord % 5 <> 0 then 37 else 160 end r, case when ord % 5 <> 0 then 99 else 160 end g, case when ord % 5 <> 0 then 235 else 160 end b from spans_synth",
     "pair_listing": "with n as (select s_name || case s_suppkey % 3 when 0 then '_TEMPLATE.pdf' when 1 then '_B_TEMPLATE.pdf' else '.pdf' end as name from supplier union all select 'Supplier#' || lpad(cast(c_custkey % 100 + 1 as varchar), 9, '0') "
-    "|| case when c_custkey % 2 = 0 then '_B_' else '_' end || c_custkey || case when c_custkey % 7 = 0 then '.PDF' else '_EXECUTED_synthetic.pdf' end from customer where c_custkey <= 1000), "
+    "|| case when c_custkey % 2 = 0 then '_B_' else '_' end || c_custkey || case when c_custkey % 7 = 0 then '.PDF' else '_EXECUTED_synthetic.pdf' end from customer), "
     "t as (select name template, replace(name, '_TEMPLATE.pdf', '') stem from n where suffix(name, '_TEMPLATE.pdf')) select stem, template, n.name filled from t join n on starts_with(n.name, stem || '_') "
     "and suffix(n.name, '_EXECUTED_synthetic.pdf') and length(n.name) >= length(stem) + 1 + length('_EXECUTED_synthetic.pdf')",
     "pdf_names": "select * from (select c_custkey, c_name || case when c_custkey % 2 = 0 then '.PDF' when c_custkey % 3 = 0 then '.pdf' else '.png' end as name from customer) q where suffix(lower(name), '.pdf')",
@@ -236,23 +236,23 @@ SQL = {
     "o as (select *, (score + attempt) % 4 = 0 ok from u), r as (select *, row_number() over (partition by line order by ok desc, case when ok then attempt end, case when not ok then score end desc, attempt) n from o) "
     "select line, cast(attempt as int) attempt, ok, cast(score as bigint) score from r where n = 1",
     "batch_chunks": LINES + ", s as (select *, count(*) over (partition by job_id) n from lines), z as (select *, cast(ceil(n / least(3, n)::double) as bigint) sz from s) select job_id, i, i // sz chunk_id, i // sz * sz start, i - i // sz * sz pos, seed + i // sz * sz + 17 * (i - i // sz * sz) line_seed from z",
-    "zip_cells": SYNTH + f", lines as ({DUCK['lines']}), a as (select pair_id job_id, page * 100000 + ord as ord, text cell, row_number() over (partition by pair_id order by page * 100000 + ord) k from spans_synth where ord % 3 = 1), "
-    "b as (select job_id, i, text line, row_number() over (partition by job_id order by i) k from lines where i % 4 <> 3) select a.job_id, a.ord, a.cell, b.i, b.line from a join b on a.job_id = b.job_id and a.k = b.k",
+    "zip_cells": SYNTH + f", lines as ({DUCK['lines']}), a as (select pair_id job_id, page * 100000 + ord as ord, text cell, row_number() over (partition by pair_id order by page * 100000 + ord) k from spans_synth where {BLUE}), "
+    "b as (select job_id, i, text line, row_number() over (partition by job_id order by i) k from lines) select a.job_id, a.ord, a.cell, b.i, b.line from a join b on a.job_id = b.job_id and a.k = b.k",
     "job_latest": with_duck("jobs") + ", n as (select *, row_number() over (partition by job_id order by seq desc) n from jobs) select job_id, seq, status, error from n where n = 1",
     "job_patches": with_duck("jobs") + " select job_id, max(seq) seq, arg_max(status, seq) status, max(error) error from jobs group by all",
-    "job_transitions": with_duck("jobs") + ", p as (select job_id, seq, status, lag(status) over (partition by job_id order by seq) previous from jobs where not (job_id % 7 = 0 and seq = 1)) select *, case when previous is null then status = 'queued' "
+    "job_transitions": with_duck("jobs") + ", q as (select job_id, seq, case when job_id % 7 = 0 and seq = 1 then 'done' else status end status from jobs), p as (select job_id, seq, status, lag(status) over (partition by job_id order by seq) previous from q) select *, case when previous is null then status = 'queued' "
     "else list_contains(['queued>calling_modal', 'queued>error', 'calling_modal>stamping', 'calling_modal>error', 'stamping>done', 'stamping>error'], previous || '>' || status) end valid from p",
     "style_backfill": STYLES + "select * from bf",
     "active_style": STYLES + ", s as (select c_custkey, 's' || (c_custkey % 500) active_style_id from customer) select c_custkey, case when coalesce(trim(bf.style_text) <> '', false) then active_style_id else 'default' end active_style_id from s left join bf on bf.id = active_style_id",
     "style_image": STYLES + "select id, coalesce(prepared_path, path) image_path from st",
-    "style_upsert": "select c_custkey, case when c_custkey % 10 = 0 then upper(c_name) else c_name end c_name from customer",
+    "style_upsert": "select c_custkey, case when c_mktsegment = 'BUILDING' then upper(c_name) else c_name end c_name from customer",
     "job_tokens": "select o_orderkey, cast(case when o_orderkey % 3 = 0 then o_orderkey % 200 when o_orderkey % 2 = 0 then o_custkey % 200 else 128 end as int) tokens from orders",
     "content_ids": "select p_partkey, substring(sha256(p_name), 1, 12) id from part",
     "enabled_lines": CELLS + "select pair_id, id, case when text is null or text = '' then ' ' else text end as text from cells where coalesce(enabled, true)",
-    "cell_overrides": CELLS + "select pair_id, id, case when ord % 6 = 1 and text is not null then upper(text) else text end as text, case when ord % 6 = 1 and page = 0 then false else enabled end enabled from cells",
+    "cell_overrides": CELLS + "select pair_id, id, case when x0 >= 160 and text is not null then upper(text) else text end as text, case when x0 >= 160 and page = 0 then false else enabled end enabled from cells",
     "cells_json": CELLS + "select pair_id, cast(row_number() over (partition by pair_id order by page, ord) - 1 as int) as ord, id, page, x0, y0, x1, y1, coalesce(text, '') as text, coalesce(enabled, true) enabled from cells",
-    "missing_files": "select p_name as name, p_partkey from part where p_name not in (select p_name from part where p_partkey % 3 <> 0)",
-    "first_existing": "select c_nationkey grp, arg_min(c_name, c_custkey) filter (where c_custkey % 7 = 0) path from customer group by all",
+    "missing_files": "select p_name as name, p_partkey, p_size from part where p_name not in (select p_name from part where p_size > 20)",
+    "first_existing": "select c_nationkey grp, arg_min(c_name, c_custkey) filter (where c_acctbal < 0) path from customer group by all",
     "job_previews": LINES + " select job_id, cast(i as int) i, lpad(cast(i as varchar), 3, '0') || '.png' file from lines",
     "glyph_lookup": "with c as (select p_partkey, unnest(range(1, length(p_name) + 1)) u, p_name from part) select p_partkey, cast(u - 1 as int) pos, substring(p_name, u, 1) ch, n_nationkey glyph from c left join nation on chr(cast(97 + n_nationkey % 26 as int)) = substring(p_name, u, 1)",
 }
@@ -276,3 +276,8 @@ SQL["stamp_layout"] = (
     "select pair_id, page, ord, tx px0, ty + greatest(0, (th - nh) / 2) py0, tx + nw px1, ty + greatest(0, (th - nh) / 2) + nh py1, "
     "cast(greatest(1, round_even(nw * 4, 0)) as int) px_w, cast(greatest(1, round_even(nh * 4, 0)) as int) px_h from g"
 )
+SQL["line_scores"] = with_duck("metrics") + " select id, pk, sk, n_ink / n_pixels::double * greatest(ink_w, 1) score from metrics"
+SQL["failure_list"] = (
+    with_duck("metrics") + ", v as (select pk % 100 job, case when n_ink / n_pixels::double < 0.008 then 'near_empty' when n_ink = 0 then 'no_ink' when ink_w < greatest(24, 3.5 * least(nchar, 8)) then 'too_narrow' "
+    "when w >= 700 and n_ink / n_pixels::double < 0.035 then 'sparse_wide' else 'ok' end r from metrics) select job, string_agg(r, ',' order by r) failures from v where r <> 'ok' group by all"
+)
