@@ -23,7 +23,11 @@ SLACK = 1e-6
 
 
 def integers(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, v array<long>): floor(scale * component); rows null or holding null, NaN or infinite components are left out."""
+    """(vec_id, v array<long>): floor(scale * component).
+
+    Rows null or holding null, NaN or infinite components are left out, and so are components of 2^40 or more, whose
+    products no long holds.
+    """
     x = F.col("embedding").cast("array<double>")
     whole = F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(2.0**40)))
@@ -63,13 +67,14 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64) if top < 2**53 else q @ x.T
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        there = np.flatnonzero(scores >= floor)
-        return there[np.lexsort((ids[there], -scores[there]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
+def best_of_rows(scores: np.ndarray, allowed: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(row, id, score) of the k highest allowed scores of each row, ties to the smaller id."""
+    r, c = np.nonzero(allowed)
+    order = np.lexsort((ids[c], -scores[r, c], r))
+    r, c = r[order], c[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r, "left")
+    r, c = r[place < k], c[place < k]
+    return rows[r], ids[c], scores[r, c]
 
 
 def index(vecs: DataFrame, p: np.ndarray, width: int, size: int) -> DataFrame:
@@ -171,14 +176,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     def search(frames):
         """The best k of each block of queries in one annulus, at or above the floor."""
         for f in frames:
+            out = []
             for q_ids, q, floors, ids, raw in zip(f.q_ids, f.q, f.floors, f.ids, f.vectors):
                 (q_ids, q), (ids, x), floors = unpack(q_ids, q), unpack(ids, raw), np.frombuffer(floors)
-                s, out = products(q, x), []
-                for i, own in enumerate(q_ids):
-                    there = np.flatnonzero((s[i] >= floors[i]) & (ids != own))
-                    there = there[best(s[i][there], ids[there], k)]
-                    out.append(pd.DataFrame({"query_id": np.full(len(there), own), "vec_id": ids[there], "score": s[i][there]}))
-                yield pd.concat(out)
+                s = products(q, x)
+                out.append(best_of_rows(s, (s >= floors[:, None]) & (ids != q_ids[:, None]), ids, q_ids, k))
+            query_id, vec_id, score = (np.concatenate(c) for c in zip(*out))
+            yield pd.DataFrame({"query_id": query_id, "vec_id": vec_id, "score": score})
 
     routes = annuli.select("annulus", "ids", "vectors").mapInPandas(start, "annulus long, q_ids binary, q binary, floors binary")
     found = routes.join(annuli.select("annulus", "ids", "vectors"), "annulus").select("q_ids", "q", "floors", "ids", "vectors")
