@@ -7,7 +7,7 @@ whose tropical-semiring shortest path is the segmentation.
 Unigram models: an arc weighs minus its score. Byte-pair models: what merging gives is no least sum of scores,
 but it is decided by neighbours: (a, b) may stand side by side exactly if merging the text of a and b gives a
 and b. Arcs then weigh nothing, the step from a to b weighs infinity where the pair can't stand, and one finite
-path is left. As each prefix has one such path as well, a state needs one arc into it.
+path is left, which a depth-first search finds. As each prefix has one such path as well, no state is left twice.
 """
 
 from __future__ import annotations
@@ -21,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 SPACE = "▁"
 #: Words that a Python worker remembers with their ids, and longest inputs that it remembers.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+REMEMBERED, REMEMBERED_CHARS = 200_000, 64
 INFINITE = float("inf")
+#: Weight of a character that has no piece, in unigram models.
+WITHOUT_PIECE = 1e6
 
 
 def default_model() -> str:
@@ -123,15 +127,61 @@ class Transducer:
             out = self.stands[key] = self.merged("".join(left + right)) == left + right
         return out
 
+    def arcs_from(self, text: str, i: int) -> list[tuple[int, int]]:
+        """(end, piece) of the arcs at a state, longest first; -1 for a character without a piece."""
+        out, arcs, n = [], self.arcs, len(text)
+        for j in range(i + 1, n + 1):
+            p = arcs.get(text[i:j])
+            if p is None:
+                break
+            if p >= 0:
+                out.append((j, p))
+        if not out or out[0][0] > i + 1:
+            out.insert(0, (i + 1, -1))
+        return out
+
+    def only_path(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, piece) along the one finite path of a byte-pair lattice, depth first.
+
+        A state that leads nowhere is left for good: whatever leads into it does so by the same last arc.
+        """
+        n, stands, dead = len(text), self.stands, set()
+        path: list[tuple[int, int, int]] = []
+        waiting = [self.arcs_from(text, 0)] if n else []
+        while waiting:
+            i, before = (path[-1][1], path[-1][2]) if path else (0, -1)
+            todo = waiting[-1]
+            while todo:
+                j, p = todo.pop()
+                if j in dead:
+                    continue
+                fine = p < 0 or stands.get((before + 1) << 32 | p)
+                if fine is None:
+                    fine = self.step(before, p)
+                if fine:
+                    path.append((i, j, p))
+                    if j == n:
+                        return path
+                    waiting.append(self.arcs_from(text, j))
+                    break
+            else:
+                waiting.pop()
+                dead.add(i)
+                if path:
+                    path.pop()
+        return path
+
     def compose(self, text: str) -> list[int]:
         """Ids along the shortest path of the lattice of text."""
+        if self.bpe:
+            return [x for i, j, p in self.only_path(text) for x in ([p] if p >= 0 else [self.byte_ids[b] for b in text[i:j].encode()])]
         n, arcs = len(text), self.arcs
         cost, last, back = [INFINITE] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
         for i in range(n):
             if cost[i] == INFINITE:
                 continue
-            at, before, single = cost[i], last[i], False
+            at, single = cost[i], False
             for j in range(i + 1, n + 1):
                 p = arcs.get(text[i:j])
                 if p is None:
@@ -139,11 +189,11 @@ class Transducer:
                 if p < 0:
                     continue
                 single = single or j == i + 1
-                weight = (0.0 if self.step(before, p) else INFINITE) if self.bpe else -self.scores[p]
+                weight = -self.scores[p]
                 if at + weight < cost[j]:
                     cost[j], last[j], back[j] = at + weight, p, i
-            if not single and at + (0.0 if self.bpe else 1e6) < cost[i + 1]:
-                cost[i + 1], last[i + 1], back[i + 1] = at + (0.0 if self.bpe else 1e6), -1, i
+            if not single and at + WITHOUT_PIECE < cost[i + 1]:
+                cost[i + 1], last[i + 1], back[i + 1] = at + WITHOUT_PIECE, -1, i
         out, j = [], n
         while j:
             i = back[j]
@@ -186,13 +236,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, column: str = "te
 
     def run(batches):
         t = transducer(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                texts = b.column(1).to_pylist()
-                ids = [None if x is None else t.encode(x) for x in texts]
-                arrays = [b.column(0), pa.array(ids, pa.binary()), pa.array([len(x or b"") // 4 for x in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array([None if x is None else t.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
+        for b in sliced(batches):
+            ids = [None if x is None else t.encode(x) for x in b.column(1).to_pylist()]
+            arrays = [b.column(0), pa.array(ids, pa.binary()), pa.array([len(x or b"") // 4 for x in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([None if x is None else t.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col(column).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long, decoded string")
