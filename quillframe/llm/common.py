@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sliced(batches, rows: int = 256):
+    """The batches in slices of a few rows, so that a Python worker holds few texts at a time; then gives memory back."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if its counted rows are few, else as it is (a shuffled join then)."""
     n = df.count() if rows is None else rows

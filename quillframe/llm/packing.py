@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sliced
 
 CAPACITY, SEPARATOR = 2048, 0
-#: Chunks and words that a Python worker remembers with their ids (about 60 MB each); then it starts afresh.
-REMEMBERED = 250_000
+#: Chunks and words that a Python worker remembers with their ids (about 35 MB each); then it starts afresh.
+REMEMBERED, REMEMBERED_CHARS = 150_000, 13
 #: Chunks of these characters only: composed letters, so NFC changes nothing and letters, digits and signs are plain.
 PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]*\Z")
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u017e]+|[0-9]|[^\sa-z0-9\u00c0-\u017e]+")
@@ -44,6 +44,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(other)) for b in range(256)]
 
 
+def remember(known: dict, key: str, ids: bytes) -> None:
+    """Long keys seldom come again and would only push others out."""
+    if len(key) <= REMEMBERED_CHARS:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known[key] = ids
+
+
 class WordIds(dict):
     """Ids of a lower-case word of the tokenizer's own splitting, as little-endian unsigned 32-bit."""
 
@@ -51,10 +59,9 @@ class WordIds(dict):
         self.tok, self.letters = tok, byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
         ids = self.tok.model.tokenize("".join([self.letters[b] for b in word.encode()]))
-        self[word] = out = np.array([t.id for t in ids], "<u4").tobytes()
+        out = np.array([t.id for t in ids], "<u4").tobytes()
+        remember(self, word, out)
         return out
 
 
@@ -69,13 +76,11 @@ class ChunkIds(dict):
         self.words = WordIds(self.tok)
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
         if PLAIN.match(chunk) and "<|" not in chunk:
             out = b"".join([self.words[w] for w in WORD.findall(chunk.lower())])
         else:
             out = np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = out
+        remember(self, chunk, out)
         return out
 
 
@@ -101,20 +106,18 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                rows, cols = [], ([], [], [], [], [])
-                for i, text in enumerate(b.column(1).to_pylist()):
-                    ids = encoded(text, path) + end
-                    for p, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[s : s + 4 * capacity]
-                        rows.append(i)
-                        for c, v in zip(cols, (p, s // 4, len(part) // 4, zlib.crc32(part), part)):
-                            c.append(v)
-                arrays = [b.column(0).take(pa.array(rows, pa.int64()))]
-                arrays += [pa.array(c, k) for c, k in zip(cols[:4], (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(cols[4], pa.binary())] * with_ids, names)
+        for b in sliced(batches):
+            rows, cols = [], ([], [], [], [], [])
+            for i, text in enumerate(b.column(1).to_pylist()):
+                ids = encoded(text, path) + end
+                for p, s in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[s : s + 4 * capacity]
+                    rows.append(i)
+                    for c, v in zip(cols, (p, s // 4, len(part) // 4, zlib.crc32(part), part)):
+                        c.append(v)
+            arrays = [b.column(0).take(pa.array(rows, pa.int64()))]
+            arrays += [pa.array(c, k) for c, k in zip(cols[:4], (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(cols[4], pa.binary())] * with_ids, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, sliced, small
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long) for each row; a null text counts as empty and has fingerprint zero."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             fp = np.array([simhash(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
@@ -125,8 +125,6 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFr
 def drop_near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     """docs without those whose component has a smaller doc_id; all columns stay."""
     gone = simhash_components(docs, words, bits).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    from .common import small
-
     return docs.join(small(cut(gone)), "doc_id", "left_anti")
 
 

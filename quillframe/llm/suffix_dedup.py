@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, remove, workspace
+from .common import cut, remove, sliced, workspace
 
 LENGTH, GRAM = 400, 32
 #: Bytes that one suffix array is built over; a name whose blocks have more is spread over several shards.
@@ -205,21 +205,20 @@ def named_blocks(docs: DataFrame, length: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part, rows, out = b.slice(at, 64), [], ([], [], [], [], [], [])
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    raw = (text or "").encode("utf-8", "replace")
-                    if len(raw) >= length:
-                        d = text_key(raw)
-                        for v, s, e, n in blocks(np.frombuffer(raw, np.uint8), length):
-                            content = int.from_bytes(hashlib.blake2b(raw[s : e + length], digest_size=8).digest(), "little", signed=True)
-                            rows.append(i)
-                            for c, x in zip(out, (d, v - (1 << 63), s, e, n, content)):
-                                c.append(x)
-                arrays = [pa.array(c, pa.binary() if i == 0 else pa.int64()) for i, c in enumerate(out)]
-                ids = part.column(0).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([arrays[0], ids, *arrays[1:]], names)
+        for part in sliced(batches, 64):
+            rows, out = [], ([], [], [], [], [], [])
+            for i, text in enumerate(part.column(1).to_pylist()):
+                raw = (text or "").encode("utf-8", "replace")
+                if len(raw) >= length:
+                    d = text_key(raw)
+                    for v, s, e, n in blocks(np.frombuffer(raw, np.uint8), length):
+                        content = int.from_bytes(hashlib.blake2b(raw[s : e + length], digest_size=8).digest(), "little", signed=True)
+                        rows.append(i)
+                        for c, x in zip(out, (d, v - (1 << 63), s, e, n, content)):
+                            c.append(x)
+            arrays = [pa.array(c, pa.binary() if i == 0 else pa.int64()) for i, c in enumerate(out)]
+            ids = part.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([arrays[0], ids, *arrays[1:]], names)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         run, f"digest binary, doc_id {kind}, name long, first long, last long, anchors long, content long"
@@ -256,7 +255,7 @@ def texts_of(ask: DataFrame, docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             ids, raws, digests = [], [], []
             for i, (own, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 raw = (text or "").encode("utf-8", "replace")
@@ -436,20 +435,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], out)
 
     def untouched(batches):
-        for b in batches:
+        for b in sliced(batches):
             raws = [(t or "").encode("utf-8", "replace") for t in b.column(1).to_pylist()]
             keep = [i for i, r in enumerate(raws) if not in_bits(held.value, text_key(r))]
             yield batch(b.column(0).take(pa.array(keep, pa.int64())), [(len(raws[i]), [], raws[i]) for i in keep])
 
     def touched(batches):
-        for b in batches:
+        for b in sliced(batches):
             raws = [(t or "").encode("utf-8", "replace") for t in b.column(1).to_pylist()]
             keep = [i for i, r in enumerate(raws) if in_bits(held.value, text_key(r))]
             ids = b.column(0).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([text_key(raws[i]) for i in keep], pa.binary()), pa.array([raws[i] for i in keep], pa.binary())], ["doc_id", "digest", "raw"])
 
     def cut_out(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield batch(b.column(0), [removed(raw, marks, length) for raw, marks in zip(b.column(1).to_pylist(), b.column(2).to_pylist())])
 
     changed = narrow.mapInArrow(touched, f"doc_id {kind}, digest binary, raw binary").join(found, "digest", "left")
