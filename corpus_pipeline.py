@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quillframe.llm.common import remove, workspace
 from quillframe.llm.exact_dedup import drop_exact_duplicates
 from quillframe.llm.langid import fit, keep_identified
+from quillframe.llm.near_copies import drop_near_copies
 from quillframe.llm.packing import pack_documents
 from quillframe.llm.pii import mask_pii
-from quillframe.llm.simhash import drop_near_duplicates
 from quillframe.session import ship
 
 
@@ -30,9 +30,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies (five-word Jaccard similarity of 0.8 or more)."""
     ship(spark)
-    return drop_near_duplicates(docs)
+    return drop_near_copies(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
