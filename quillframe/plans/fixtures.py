@@ -43,7 +43,7 @@ select p_partkey id, case p_partkey % 12
   when 8 then concat('3x10^', cast(p_size as string), ' ^ ', chr(123), p_type, chr(125)) when 9 then ' ' when 10 then concat(p_name, '/', p_brand)
   else concat(p_type, '-', p_name, '-supercalifragilisticexpialidocious/', p_brand) end as text
 from {part}
-union all select 1000000 + doc_id, substring(text, 1, 60) from {documents}"""
+union all select 1000000 + doc_id, text from {documents}"""
 
 IMAGE = """select vec_id {div} 16 img_id, cast(vec_id % 16 as int) y, x, cast(case when (vec_id {div} 16) % 5 = 0 then 255 - v0 else v0 end as int) v
 from (select vec_id, x, case when (vec_id {div} 16) % 2 = 0 and vec_id % 16 between 6 and 11 then 255
