@@ -1,11 +1,11 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
-Bulk-synchronous best-fit over ranges: pieces are range-sorted by length and numbered within their length;
-since lengths are whole numbers up to the capacity, equal pieces and equal gaps are interchangeable and a sweep
-over pieces and gaps is one over at most `capacity` runs of each, however many documents there are. A superstep
-takes the longest pieces not yet placed, finds the successor (the smallest gap that holds them), resolves who
-gets which gap by rank, updates the gaps, and repeats; pieces without a successor open new sequences. The sweeps
-thus yield ranges of ranks with their place, which the distributed rows look up.
+Supersteps over runs: pieces are numbered within their length, by distributed rows; since lengths are whole numbers
+up to the capacity, equal pieces and equal gaps are interchangeable, and a sweep over pieces and gaps is one over at
+most `capacity` runs of each, however many documents there are. A superstep takes the longest pieces not yet placed,
+finds the successor (the smallest gap that holds them), resolves who gets which gap by rank, updates the gaps, and
+repeats; pieces without a successor open new sequences. The supersteps run on the driver, over counts by length alone;
+they yield ranges of ranks with their place, which the distributed rows look up.
 """
 
 from __future__ import annotations
@@ -21,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, sliced
+from .common import cut, sliced, small
+from .remembered import Remembered, text_bytes
 
 CAPACITY, SEPARATOR = 2048, 0
-#: Chunks and words that a Python worker remembers with their ids (about 35 MB each); then it starts afresh.
-REMEMBERED, REMEMBERED_CHARS = 150_000, 13
 #: Chunks of these characters only: composed letters, so NFC changes nothing and letters, digits and signs are plain.
 PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]*\Z")
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u017e]+|[0-9]|[^\sa-z0-9\u00c0-\u017e]+")
@@ -44,62 +43,64 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(other)) for b in range(256)]
 
 
-def remember(known: dict, key: str, ids: bytes) -> None:
-    """Long keys seldom come again and would only push others out."""
-    if len(key) <= REMEMBERED_CHARS:
-        if len(known) >= REMEMBERED:
-            known.clear()
-        known[key] = ids
-
-
-class WordIds(dict):
-    """Ids of a lower-case word of the tokenizer's own splitting, as little-endian unsigned 32-bit."""
-
-    def __init__(self, tok):
-        self.tok, self.letters = tok, byte_letters()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tok.model.tokenize("".join([self.letters[b] for b in word.encode()]))
-        out = np.array([t.id for t in ids], "<u4").tobytes()
-        remember(self, word, out)
-        return out
-
-
-class ChunkIds(dict):
-    """Ids of a chunk between spaces and line ends. No token spans white space, so a text's ids are its chunks'."""
+class Chunks:
+    """Ids of chunks between spaces and line ends. No token spans white space, so a text's ids are its chunks'."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.words = WordIds(self.tok)
-
-    def __missing__(self, chunk: str) -> bytes:
-        if PLAIN.match(chunk) and "<|" not in chunk:
-            out = b"".join([self.words[w] for w in WORD.findall(chunk.lower())])
-        else:
-            out = np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        remember(self, chunk, out)
-        return out
+        # A byte above 126 as the letter that byte-level vocabularies write for it.
+        self.letters = {i: c for i, c in enumerate(byte_letters()) if i > 126}
+        self.remembered = Remembered(self.encode)
+
+    def word(self, word: str) -> list[int]:
+        """A lower-case word of the tokenizer's own splitting."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tok.model.tokenize(word)]
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out, n = [], []
+        for chunk in chunks:
+            before = len(out)
+            if PLAIN.match(chunk) and "<|" not in chunk:
+                for w in WORD.findall(chunk.lower()):
+                    out += self.word(w)
+            else:
+                out += self.tok.encode(chunk, add_special_tokens=False).ids
+            n.append(len(out) - before)
+        return np.array(out, np.uint32), np.array(n, np.int64)
 
 
 @lru_cache(maxsize=1)
-def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
-
-
-def encoded(text: str | None, path: str) -> bytes:
-    """A text's ids as little-endian unsigned 32-bit; each distinct chunk is encoded only once for a worker."""
-    if not text:
-        return b""
-    return b"".join(map(chunk_ids(path).__getitem__, text.replace("\n", " ").split(" ")))
+def chunks(path: str) -> Chunks:
+    return Chunks(path)
+
+
+def encode_column(texts: pa.Array, path: str) -> list[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit, none for null; each distinct chunk is encoded once for a worker."""
+    data, at = text_bytes(texts)
+    white = (data == 32) | (data == 10)
+    edge = white.copy()
+    edge[1:] |= white[:-1]
+    edge[at[:-1][np.diff(at) > 0]] = True
+    first = np.flatnonzero(edge)
+    size = np.diff(np.append(first, len(data)))
+    own = ~white[first]
+    first, size = first[own], size[own]
+    ids, n = chunks(path).remembered.of(data, first, size)
+    ends = (4 * np.concatenate([[0], np.cumsum(n)])[np.searchsorted(first, at)]).tolist()
+    raw = ids.astype("<u4").tobytes()
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids binary]): documents cut only where longer than the capacity.
 
-    A document is its text's ids and the separator; null text counts as empty, so every row gives a piece.
+    A document is its text's ids and the separator; null text counts as empty, so every row gives a piece. Words and texts
+    of any length are taken whole; rows with null or repeated ids are documents of their own. Other columns are ignored.
     """
     path = path or default_tokenizer()
     end = np.array([SEPARATOR], "<u4").tobytes()
@@ -108,8 +109,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     def run(batches):
         for b in sliced(batches):
             rows, cols = [], ([], [], [], [], [])
-            for i, text in enumerate(b.column(1).to_pylist()):
-                ids = encoded(text, path) + end
+            for i, ids in enumerate(encode_column(b.column(1), path)):
+                ids += end
                 for p, s in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[s : s + 4 * capacity]
                     rows.append(i)
@@ -152,32 +153,28 @@ def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
 
 
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """cut_pieces with sequence_id long and offset long; every row gets one place, repeated rows too.
+    """cut_pieces with sequence_id long and offset long; every row gets one place, repeated rows and null ids too.
 
-    Ranks within a length are numbered in salted groups of bounded size, so a length that a third of all
-    pieces share is spread over many tasks. The driver sees counts by length and group only: at most about a
-    million rows at any size of the input.
+    Pieces of a length are numbered in salted groups of bounded size, so a length that a third of all pieces share,
+    or a row that comes again a million times, is spread over many tasks. The driver sees counts by length only.
+    cut_pieces must be stored (a table or checkpoint): it is read more than once. No pieces give no rows.
     """
     spark = cut_pieces.sparkSession
     counts = {r.length: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return cut_pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    per_group = max(1024, sum(counts.values()) // 1_000_000)
+    per_group = max(256, sum(counts.values()) // 1_000_000)
     salts = spark.createDataFrame([(k, -(-n // per_group)) for k, n in counts.items()], "length long, groups long")
-    salted = cut_pieces.join(F.broadcast(salts), "length").withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups")).cast("long")
-    ).drop("groups")
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = cut(salted.withColumn("local", F.row_number().over(order).cast("long") - 1))
-    base, groups = defaultdict(int), []
-    for r in sorted(ranked.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r.length, r.salt)):
-        groups.append((r.length, r.salt, base[r.length]))
-        base[r.length] += r["n"]
-    bases = spark.createDataFrame(groups, "length long, salt long, base long")
+    numbered = cut_pieces.withColumn("row", F.monotonically_increasing_id())
+    salted = numbered.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("groups")).cast("long")).drop("groups")
+    ranked = cut(salted.withColumn("local", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")).cast("long") - 1).drop("row"))
+    sizes = cut(ranked.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     places = spark.createDataFrame(sweep(counts, capacity), "length long, rank0 long, n long, first long, each long, off long")
     rank = F.col("base") + F.col("local") - F.col("rank0")
     return (
-        ranked.join(F.broadcast(bases), ["length", "salt"])
+        ranked.join(small(bases, sizes.count()), ["length", "salt"])
         .join(F.broadcast(places), "length")
         .where((rank >= 0) & (rank < F.col("n")))
         .withColumn("sequence_id", (F.col("first") + F.floor(rank / F.col("each"))).cast("long"))
