@@ -1,12 +1,14 @@
 """Language identification by compression.
 
 Each language has a zstandard raw-content dictionary made of labelled text. A text goes to the language whose
-dictionary makes it smallest; a narrow margin over the second smallest is a rejection.
+dictionary makes it smallest; where that is narrow, as whole bytes make it for short texts, the sizes of its words, each
+compressed alone, count too. A margin over the second smallest that is narrow still is a rejection.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -14,10 +16,13 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, small
 
-#: The model's bounds: labelled rows looked at for each language, characters of each of them, bytes of a dictionary.
-ROWS_PER_LANGUAGE, CHARS_PER_ROW, DICTIONARY_BYTES = 400, 2000, 64_000
+#: The model's bounds: labelled rows for each language, bytes of each of them, bytes of a dictionary. A row's bytes come
+#: from windows of so many characters, dealt evenly over its whole text.
+ROWS_PER_LANGUAGE, DICTIONARY_BYTES, WINDOWS, WINDOW_CHARS = 400, 64_000, 4, 48
+#: Times as many rows as the model takes that a threshold on their hash lets through, on average.
+SPARE = 4
 BLOCK = 16_384
 #: Matches of four bytes and small tables: syllables count, and starting a text is cheap.
 PARAMETERS = zstandard.ZstdCompressionParameters(
@@ -25,7 +30,6 @@ PARAMETERS = zstandard.ZstdCompressionParameters(
 )
 #: Least lead, as a part of the second smallest size, to be accepted; fewer letters are always rejected.
 MIN_MARGIN, MIN_LETTERS = 0.004, 4
-LETTER = re.compile(r"[^\W\d_]")
 NOISE = re.compile(r"[\W\d_]+")
 
 
@@ -34,23 +38,36 @@ def squeezed(text: str) -> bytes:
     return NOISE.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
+def sampled(text: F.Column) -> F.Column:
+    """The whole text if it is short, else windows from its beginning to its end."""
+    step = (F.char_length(text) - WINDOW_CHARS) / (WINDOWS - 1)
+    parts = [F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(WINDOW_CHARS)) for i in range(WINDOWS)]
+    return F.when(F.char_length(text) <= WINDOWS * WINDOW_CHARS, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def fit(labelled: DataFrame) -> dict[str, bytes]:
-    """Dictionaries by language, from at most ROWS_PER_LANGUAGE rows each, chosen by a hash of their id.
+    """Dictionaries by language, from at most ROWS_PER_LANGUAGE rows each, those with the least hash of their id.
 
-    Rows with null text or lang are not used; no usable rows give an empty model, which answers `und`.
+    A threshold on the hash, from the counts of rows by language, leaves a few times as many rows, so that no task gets more
+    of a language whatever its share. Rows with null text, lang or id are not used; rows of one id count one by one, ties go by text;
+    other columns are ignored. No usable rows give an empty model, which answers `und`.
     """
-    usable = labelled.where("text is not null and lang is not null").select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), "doc_id")
-    chosen = usable.withColumn("r", F.row_number().over(order)).where(F.col("r") <= ROWS_PER_LANGUAGE).drop("r")
-    texts = labelled.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi")
+    hashed = F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid"))
+    usable = labelled.where("text is not null and lang is not null and doc_id is not null")
+    usable = usable.select(F.col("lang").cast("string").alias("lang"), hashed.alias("h"), F.col("text").cast("string").alias("text"))
+    counts = usable.groupBy("lang").count()
+    few = F.pmod("h", F.col("count")) < SPARE * ROWS_PER_LANGUAGE
+    chosen = usable.join(small(counts), "lang").where(few).select("lang", "h", sampled(F.col("text")).alias("text"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    rows = chosen.withColumn("r", F.row_number().over(order)).where(F.col("r") <= ROWS_PER_LANGUAGE).drop("r")
     by: dict[str, list[tuple]] = {}
-    for r in texts.select("lang", "doc_id", F.substring("text", 1, CHARS_PER_ROW).alias("text")).collect():
-        by.setdefault(r.lang, []).append((str(r.doc_id), r.text))
+    for r in rows.collect():
+        by.setdefault(r.lang, []).append((r.h, r.text))
     model = {}
-    for lang, rows in sorted(by.items()):
+    for lang, texts in sorted(by.items()):
         # Each row gives an equal share, so that no long row fills the dictionary.
-        share = max(64, DICTIONARY_BYTES // len(rows))
-        model[lang] = b" ".join(squeezed(t)[:share] for _, t in sorted(set(rows)))[:DICTIONARY_BYTES]
+        share = max(64, DICTIONARY_BYTES // len(texts))
+        model[lang] = b" ".join(squeezed(t)[:share] for _, t in sorted(texts))[:DICTIONARY_BYTES]
     return {k: v for k, v in model.items() if len(v) >= 8}
 
 
@@ -65,19 +82,34 @@ def encoders(model: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstandard.
 
 
 def classify(text: str | None, model: tuple[tuple[str, bytes], ...]) -> tuple[str, float, bool]:
-    """(language or und, score 0 to 1, rejected). Score: the lead over the second smallest size, as a part of it."""
-    if not text or not model or not LETTER.search(text):
+    """(language or und, score 0 to 1, rejected). Score: the lead over the second smallest size, as a part of it.
+
+    und: null texts and texts without a letter (digits, fractions and numerals of any script are none). Languages whose sizes are
+    equal to the end are told apart by name only, and such texts are rejected; so is anything under MIN_LETTERS bytes of letters.
+    """
+    if not text or not model or not any(map(str.isalpha, text)):
         return "und", 0.0, True
-    data = squeezed(text)
+    data, tools = squeezed(text), encoders(model)
     blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-    sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in encoders(model))
-    lead = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
-    letters = len(data) - data.count(b" ")
-    return sizes[0][1], lead, lead < MIN_MARGIN or letters < MIN_LETTERS
+    sizes = [sum(len(c.compress(b)) for b in blocks) for _, c in tools]
+
+    def found():
+        order = sorted((n, lang) for n, (lang, _) in zip(sizes, tools))
+        return order[0][1], (order[1][0] - order[0][0]) / order[1][0] if len(order) > 1 else 1.0
+
+    lang, lead = found()
+    if lead < MIN_MARGIN:
+        words = Counter(data.split())
+        sizes = [n + sum(k * len(c.compress(w)) for w, k in words.items()) for n, (_, c) in zip(sizes, tools)]
+        lang, lead = found()
+    return lang, lead, lead < MIN_MARGIN or len(data) - data.count(b" ") < MIN_LETTERS
 
 
 def predict(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
-    """docs with lang_pred string, score double, rejected boolean; nothing but the text is looked at."""
+    """(doc_id, lang_pred string, score double, rejected boolean) for each row of docs; nothing but its whole text is looked at.
+
+    Repeated rows and null ids stay; other columns, whatever their names, are ignored; no rows give no rows.
+    """
     frozen = tuple(sorted(model.items()))
     held = docs.sparkSession.sparkContext.broadcast(frozen)
 
@@ -113,6 +145,7 @@ def fold(doc_id="doc_id"):
 
 
 def op6_language_id(docs: DataFrame) -> DataFrame:
+    """Predictions of a model learned from the rows that are not held out. A null doc_id is not held out, nor learned from."""
     model = fit(docs.where(fold() != 2))
     out = predict(docs, model)
-    return out.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
