@@ -32,11 +32,13 @@ SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 IBAN = re.compile(r"\W{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"(?: ?(?:no\.?|nr\.?|number|id))?[ :#=]{1,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
 SECRET = re.compile(r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/\-]{16,})")
+PASSWORD = re.compile(r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,64})")
 #: Identifier cues, each looked for in lower case, upper case and capitalised.
 CUES = {
     "iban": "iban",
     "account": "account", "acct": "account", "ssn": "account", "passport": "account", "konto": "account",
-    "token": "secret", "secret": "secret", "password": "secret", "api_key": "secret", "apikey": "secret",
+    "token": "secret", "secret": "secret", "api_key": "secret", "apikey": "secret",
+    "password": "password", "passwd": "password", "pwd": "password",
 }
 
 
@@ -65,6 +67,18 @@ def iban_ok(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def password_ok(text: str) -> bool:
+    """Long, or letters with something else among them: a plain word after the cue is no password."""
+    return len(text) >= 16 or any(map(str.isalpha, text)) and not text.isalpha()
+
+
+#: What follows a cue: its pattern, what it must satisfy, and the kind that it is.
+PARSERS = {
+    "iban": (IBAN, iban_ok, "iban"), "account": (ACCOUNT, bool, "account"), "secret": (SECRET, bool, "secret"),
+    "password": (PASSWORD, password_ok, "secret"),
+}
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as in KINDS, then start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -109,8 +123,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 out["url"].append((start, m.end()))
                 done["url"] = m.end()
         else:
-            m = {"iban": IBAN, "account": ACCOUNT, "secret": SECRET}[kind].match(text, last + 1)
-            if m and m.start(1) >= done[kind] and (kind != "iban" or iban_ok(m[1])):
+            pattern, holds, kind = PARSERS[kind]
+            m = pattern.match(text, last + 1)
+            if m and m.start(1) >= done[kind] and holds(m[1]):
                 out[kind].append(m.span(1))
                 done[kind] = m.end(1)
     return [(k, s, e) for k in KINDS for s, e in out[k]]
@@ -130,7 +145,11 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans array<struct<kind,start,end>>, masked) for each row; a null text is empty and stays null when masked."""
+    """(doc_id, spans array<struct<kind,start,end>>, masked) for each row; a null text is empty and stays null when masked.
+
+    Whole texts of any length are read; spans are in code points, and those of different kinds may overlap. Repeated rows and null
+    ids stay; other columns, whatever their names, are ignored; no rows give no rows.
+    """
 
     def run(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -165,6 +184,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
 
 def op10_pii(docs: DataFrame) -> DataFrame:
+    """Counts and spans of each row, as find_pii finds them; null and empty texts have none."""
     spans = F.col("spans")
     text = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     joined = lambda s: F.array_join(F.transform(s, text), ",")
