@@ -369,10 +369,11 @@ def repeated_positions(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     named_blocks(docs, length).write.parquet(path)
     place = spark.read.parquet(path)
     names = place.groupBy("name").agg(F.sum("anchors").alias("anchors")).where("anchors > 1").select("name")
+    # Grouping by a struct deals the rows anew, so that the blocks of one name may lie in many tasks before and after.
     kinds = cut(
-        place.join(names, "name").groupBy("name", "content").agg(
+        place.join(names, "name", "left_semi").groupBy(F.struct("name", "content").alias("kind")).agg(
             F.min(F.struct("digest", "doc_id", "first", "last")).alias("one"), F.count(F.lit(1)).alias("copies"), F.max("anchors").alias("anchors")
-        )
+        ).select("kind.name", "kind.content", "one", "copies", "anchors")
     )
     size = F.col("one.last") - F.col("one.first") + length
     per_name = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.sum(size).alias("bytes"))
@@ -456,7 +457,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op8_suffix_array_dedup(docs: DataFrame) -> DataFrame:
+    """Sizes, spans and digest of what remove_repeats leaves of each row, and the text itself.
+
+    text: the kept bytes as UTF-8, a replacement character where a removed run parts a character.
+    """
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return remove_repeats(docs).select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
-    )
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+    )
