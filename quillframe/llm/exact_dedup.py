@@ -8,12 +8,14 @@ normalised bytes of every further copy are compared with those of the copy that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, remove, workspace
+from .common import cut, remove, small, workspace
 
 WHITE = " \t\n\x0b\x0c\r"
+#: Micro-batches that the rows are streamed in unless told otherwise, and bytes of texts that may be broadcast.
+BATCHES, BROADCAST_BYTES = 3, 8_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -25,13 +27,14 @@ def normalised(text="text"):
     return out
 
 
-def digested(docs: DataFrame) -> DataFrame:
+def sha256(norm):
+    return F.unhex(F.sha2(norm, 256))
+
+
+def digested(docs: DataFrame, digest=sha256) -> DataFrame:
     """(doc_id, digest binary, points): what the stream needs of each row."""
-    return docs.select(
-        "doc_id",
-        F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("digest"),
-        F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("points"),
-    )
+    points = F.char_length(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.select("doc_id", digest(normalised().cast("binary")).alias("digest"), points.alias("points"))
 
 
 def dedup_state(stream: DataFrame) -> DataFrame:
@@ -72,81 +75,85 @@ def run_stream(spool: DataFrame, path: str, files_per_trigger: int) -> DataFrame
     return spark.read.schema(changes).parquet(f"{path}/changes").groupBy("digest").agg(F.max(F.struct("n", "best")).alias("s")).select("digest", "s.*")
 
 
-def exact_groups(docs: DataFrame, files_per_trigger: int = 10_000) -> DataFrame:
-    """Each row of docs with its group: doc_id, digest, points, locator, keep_id, keep_locator, group_size, kept, verified.
+def exact_groups(docs: DataFrame, files_per_trigger: int | None = None, digest=sha256) -> DataFrame:
+    """Each row of docs with its group: doc_id, digest, points, keep_id, group_size, kept, verified.
 
     Of equal texts the row with the most code points stays, then the smallest doc_id, then the earliest row; of
-    exactly repeated rows one stays. Null texts count as empty, null ids lose to others; extra columns are
-    ignored. verified: the row's bytes are those of the row that stays in its digest's group. Rows
-    whose bytes differ under one digest are never merged: each such row stays as its own group.
+    exactly repeated rows one stays. Null texts count as empty, null ids lose to others; extra columns, whatever their
+    names, are ignored; no rows give no rows. verified: the row's bytes were compared with those of the row that stays
+    in its digest's group, or it is alone. Where bytes differ under one digest, the rows of that digest are grouped by their whole
+    texts instead, and are marked as not verified by it.
     """
     spark = docs.sparkSession
     path = workspace(spark, "exact-dedup")
-    digested(docs).withColumn("locator", F.monotonically_increasing_id()).write.parquet(f"{path}/spool")
+    digested(docs, digest).withColumn("locator", F.monotonically_increasing_id()).write.parquet(f"{path}/spool")
     spool = spark.read.parquet(f"{path}/spool")
     if spool.isEmpty():
         groups = cut(spark.createDataFrame([], "digest binary, n long, best struct<points int, not_id long, not_locator long>"))
     else:
-        groups = cut(run_stream(spool, path, files_per_trigger))
-    out = (
-        spool.join(groups, "digest")
-        .select(
-            "doc_id", "digest", "points", "locator",
-            F.bitwise_not("best.not_id").alias("keep_id"), F.bitwise_not("best.not_locator").alias("keep_locator"),
+        groups = cut(run_stream(spool, path, files_per_trigger or -(-len(spool.inputFiles()) // BATCHES)))
+    out = cut(
+        spool.join(groups, "digest").select(
+            "doc_id", "digest", "points",
+            F.bitwise_not("best.not_id").alias("keep_id"),
             F.col("n").alias("group_size"),
+            (F.col("locator") == F.bitwise_not("best.not_locator")).alias("kept"),
         )
     )
-    out = cut(out)
     remove(spark, path)
-    wrong = cut(mismatches(docs, out.where("group_size > 1")))
-    if wrong.isEmpty():
-        verified = out.withColumn("verified", F.lit(True))
-    else:
-        verified = (
-            out.join(wrong.withColumn("alone", F.lit(True)), ["doc_id", "digest"], "left")
-            .withColumn("verified", F.col("alone").isNull())
-            .withColumn("keep_id", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("keep_id")))
-            .withColumn("keep_locator", F.when(F.col("alone"), F.col("locator")).otherwise(F.col("keep_locator")))
-            .drop("alone")
-        )
-    return verified.withColumn("kept", F.col("locator") == F.col("keep_locator"))
+    verified = out.withColumn("verified", F.lit(True))
+    mixed = cut(mismatches(docs, out.where("group_size > 1"), digest))
+    if mixed.isEmpty():
+        return verified
+    whole = Window.partitionBy("digest", "norm")
+    order = whole.orderBy(F.desc("points"), F.col("doc_id").asc_nulls_last())
+    texts = digested_texts(docs, digest).join(mixed, "digest", "left_semi")
+    apart = texts.select(
+        "doc_id", "digest", "points", F.first("doc_id").over(order).alias("keep_id"), F.count(F.lit(1)).over(whole).alias("group_size"),
+        (F.row_number().over(order) == 1).alias("kept"), F.lit(False).alias("verified"),
+    )
+    return verified.join(mixed, "digest", "left_anti").select(*apart.columns).unionByName(apart)
+
+
+def digested_texts(docs: DataFrame, digest) -> DataFrame:
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("points"), normalised().alias("norm"))
+    return rows.withColumn("digest", digest(F.col("norm").cast("binary")))
 
 
-def mismatches(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc_id, digest) of hits whose full normalised bytes differ from those of the row that stays.
+def mismatches(docs: DataFrame, hits: DataFrame, digest=sha256) -> DataFrame:
+    """The digests under which a row's full normalised bytes differ from those of the row that stays.
 
     Only rows of digests that were hit take part: those keys are broadcast if a count shows that they are few,
-    and joined by a shuffle otherwise. The join by digest has one row on its right for each group, so a group
-    of any size can be split between tasks.
+    and joined by a shuffle otherwise. The texts that stay are a table of one row for each group, broadcast if their bytes
+    are few; else the join by digest has one row on its right for each group, so a group of any size can be split between tasks.
     """
-    keep = cut(hits.where("locator = keep_locator").select("digest", F.col("keep_id").alias("keep_id")))
-    n = keep.count()
-    keys = F.broadcast(keep) if n <= BROADCAST_ROWS else keep
-    texts = docs.select("doc_id", normalised().alias("norm")).withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
-    texts = texts.join(keys, "digest")
-    left = texts.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "digest", "norm")
-    right = texts.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("keep_norm"))
-    return left.join(right, "digest").where("norm <> keep_norm").select("doc_id", "digest").distinct()
-
-
-def drop_exact_duplicates(docs: DataFrame, files_per_trigger: int = 10_000) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    keep = cut(hits.where("kept").select("digest", "keep_id"))
+    texts = digested_texts(docs, digest).join(small(keep), "digest")
+    own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    right = cut(texts.where(own).groupBy("digest").agg(F.min("norm").alias("keep_norm")))
+    size = right.agg(F.sum(F.octet_length("keep_norm"))).first()[0] or 0
+    right = F.broadcast(right) if size <= BROADCAST_BYTES else right
+    # Of rows that repeat the keeper's id, one is the right side itself.
+    return texts.join(right, "digest").where("norm <> keep_norm").select("digest").distinct()
+
+
+def drop_exact_duplicates(docs: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
+    """The rows of docs that stay, with all their columns; edge cases as in exact_groups."""
     groups = cut(exact_groups(docs, files_per_trigger).select("doc_id", "digest", "kept"))
     key = F.unhex(F.sha2(normalised().cast("binary"), 256))
     gone = cut(groups.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
     drop = gone.where("not kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
     again = gone.where("kept and n > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    n_drop, n_again = drop.count(), again.count()
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__digest"))
-    hint = lambda d, n: F.broadcast(d) if n <= BROADCAST_ROWS else d
-    rest = docs.withColumn("__key", key).join(hint(drop, n_drop), on, "left_anti")
-    if n_again:
-        once = rest.join(hint(again, n_again), on, "left_semi").dropDuplicates(["doc_id", "__key"])
-        rest = rest.join(hint(again, n_again), on, "left_anti").unionByName(once)
+    rest = docs.withColumn("__key", key).join(small(drop), on, "left_anti")
+    if n_again := again.count():
+        once = rest.join(small(again, n_again), on, "left_semi").dropDuplicates(["doc_id", "__key"])
+        rest = rest.join(small(again, n_again), on, "left_anti").unionByName(once)
     return rest.drop("__key")
 
 
 def op2_exact_dedup(docs: DataFrame) -> DataFrame:
+    """The groups with the digest in hexadecimal; edge cases as in exact_groups."""
     return exact_groups(docs).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "verified"
     )
