@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,15 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillframe-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; where nothing is named, a temporary one
+    if driver and executors are one process, and a failure on a cluster."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="quillframe-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
 
 
 def workspace(spark: SparkSession, name: str) -> str:
