@@ -1,8 +1,10 @@
 """Finding filled fields: typed spans of a filled form are matched to places on its blank template.
 
 Spans are rows (pair_id, page, ord, text, x0, y0, x1, y1, color); ord is the order of extraction, which all ties
-follow. Every operator works on all pages of all pairs at once; joins are equi-joins on pair and page, by a
-y-bucket where a tolerance applies, so that no page becomes a product of its spans.
+follow. Every operator works on all pages of all pairs at once. What depends on a page as a whole is worked out on
+the page's spans as one array: spans are dealt by (pair_id, page) once, and merging, anchors, occurrences and places on
+the template follow in the same stage. A page, not a document, is the unit that is gathered; its text is normalised
+span by span before that.
 """
 
 from __future__ import annotations
@@ -32,70 +34,100 @@ def blue_spans(spans: DataFrame) -> DataFrame:
     return spans.where(is_blue(F.col("color")) & (F.trim("text") != ""))
 
 
-def merge_spans(spans: DataFrame) -> DataFrame:
-    """(pair_id, page, grp, x0, y0, x1, y1, text): adjacent spans merged into cells, by greedy first fit.
+def shown(c="text") -> Column:
+    return F.trim(c) != ""
+
+
+def merge_order() -> Column:
+    return F.struct(round_tenth(F.col("y0")).alias("ry"), "x0", "ord", "y0", "x1", "y1", "text")
+
+
+def label_item() -> Column:
+    """A span that is not blue, as an element of its page's array."""
+    return F.struct("y0", "x0", "ord", "x1", "y1", norm("text").alias("label"), shown().alias("shown"), is_near_black(F.col("color")).alias("black"), "text")
+
+
+def continues(last: Column, s: Column) -> Column:
+    same_line = (F.abs(s["y0"] - last["y0"]) < 4) & (F.abs(s["y1"] - last["y1"]) < 6)
+    close = s["x0"] <= last["x1"] + MERGE_GAP
+    stacked = (s["y0"] <= last["y1"] + 6) & (s["y0"] >= last["y0"] - 2) & ~((s["x1"] < last["x0"] - 4) | (s["x0"] > last["x1"] + 4))
+    return (same_line & close) | stacked
+
+
+def merged(pages: DataFrame, spans: str = "spans") -> DataFrame:
+    """A row for each group of a page's sorted spans, with grp, its box and text; other columns of pages stay.
 
     In reading order each span joins the first group whose last member it continues, on the same line or stacked
-    under it. That depends on the order, so a page's spans are folded as one array; pages are independent.
+    under it. That depends on the order, so a page is folded; the fold holds the last member of each group, and the
+    group of each span so far.
     """
-    member = F.struct(round_tenth(F.col("y0")).alias("ry"), "x0", "ord", "y0", "x1", "y1", "text")
-    pages = spans.groupBy(*PAGE).agg(F.array_sort(F.collect_list(member)).alias("spans"))
-    kind = "array<array<struct<ry:bigint,x0:double,ord:bigint,y0:double,x1:double,y1:double,text:string>>>"
-
-    def continues(last: Column, s: Column) -> Column:
-        same_line = (F.abs(s["y0"] - last["y0"]) < 4) & (F.abs(s["y1"] - last["y1"]) < 6)
-        close = s["x0"] <= last["x1"] + MERGE_GAP
-        stacked = (s["y0"] <= last["y1"] + 6) & (s["y0"] >= last["y0"] - 2) & ~((s["x1"] < last["x0"] - 4) | (s["x0"] > last["x1"] + 4))
-        return (same_line & close) | stacked
-
-    def place(groups: Column, s: Column) -> Column:
-        hit = F.array_position(F.transform(groups, lambda g: continues(F.element_at(g, -1), s)), True)
-        joined = F.transform(groups, lambda g, i: F.when(i + 1 == hit, F.concat(g, F.array(s))).otherwise(g))
-        return F.when(hit > 0, joined).otherwise(F.concat(groups, F.array(F.array(s))))
-
-    folded = pages.select(*PAGE, F.posexplode(F.aggregate("spans", F.array().cast(kind), place)).alias("grp", "members"))
+    of = {f.name: f.dataType for f in pages.schema}[spans].elementType.simpleString()
+    start = F.struct(F.array().cast(f"array<{of}>").alias("last"), F.array().cast("array<int>").alias("grp"))
+
+    def place(acc: Column, s: Column) -> Column:
+        hit = F.array_position(F.transform(acc["last"], lambda g: continues(g, s)), True).cast("int")
+        moved = F.transform(acc["last"], lambda g, i: F.when(i + 1 == hit, s).otherwise(g))
+        return F.when(hit > 0, F.struct(moved.alias("last"), F.concat(acc["grp"], F.array(hit)).alias("grp"))).otherwise(
+            F.struct(F.concat(acc["last"], F.array(s)).alias("last"), F.concat(acc["grp"], F.array((F.size(acc["last"]) + 1).cast("int"))).alias("grp"))
+        )
+
+    keep = [c for c in pages.columns if c != spans]
+    folded = pages.withColumn("fold", F.aggregate(spans, start, place))
+    each = folded.select("*", F.arrays_zip(F.col(spans).alias("s"), F.col("fold.grp").alias("g")).alias("zipped"))
+    own = F.filter("zipped", lambda z: z["g"] == F.col("grp") + 1)
+    groups = each.select("*", F.posexplode("fold.last").alias("grp", "__last")).select(*keep, "grp", F.transform(own, lambda z: z["s"]).alias("members"))
     ordered = F.array_sort(F.transform("members", lambda m: F.struct(m["y0"], m["x0"], m["ord"], m["text"])))
     text = sanitize_form(F.array_join(F.transform(ordered, lambda m: m["text"]), " "))
-    of = lambda f, k: f(F.transform("members", lambda m: m[k]))
-    return folded.select(
-        *PAGE, "grp", (of(F.array_min, "x0") - 1).alias("x0"), (of(F.array_min, "y0") - 1).alias("y0"),
-        (of(F.array_max, "x1") + 1).alias("x1"), (of(F.array_max, "y1") + 1).alias("y1"), text.alias("text"),
+    end = lambda f, k: f(F.transform("members", lambda m: m[k]))
+    return groups.select(
+        *keep, "grp", (end(F.array_min, "x0") - 1).alias("x0"), (end(F.array_min, "y0") - 1).alias("y0"),
+        (end(F.array_max, "x1") + 1).alias("x1"), (end(F.array_max, "y1") + 1).alias("y1"), text.alias("text"),
     ).where("text <> ''")
 
 
+def merge_spans(spans: DataFrame) -> DataFrame:
+    """(pair_id, page, grp, x0, y0, x1, y1, text): adjacent spans merged into cells, by greedy first fit."""
+    return merged(spans.groupBy(*PAGE).agg(F.array_sort(F.collect_list(merge_order())).alias("spans")))
+
+
+def label_pages(spans: DataFrame) -> DataFrame:
+    """(pair_id, page, labels): the spans of each page that are not blue."""
+    labels = spans.where(~is_blue(F.col("color")))
+    return labels.groupBy(*PAGE).agg(F.collect_list(label_item()).alias("labels"))
+
+
+def anchored(fills: DataFrame, labels: str = "labels") -> DataFrame:
+    """fills with anchor: the rightmost of the page's labels that is left of the fill and on its row, or null."""
+    near = F.filter(
+        labels, lambda s: s["shown"] & (F.abs(s["y0"] - F.col("y0")) <= ANCHOR_Y) & (s["x1"] < F.col("x0") - ANCHOR_X)
+    )
+    item = lambda s: F.struct(s["x1"], (-s["ord"]).alias("rank"), s["text"], s["label"], s["x0"], s["y0"], s["y1"])
+    return fills.withColumn("anchor", F.array_max(F.transform(near, item)))
+
+
 def left_anchor(fills: DataFrame, spans: DataFrame, key: str = "grp") -> DataFrame:
     """Each fill with the rightmost span that is not blue, left of it and on its row; fills without one drop out."""
-    bucket = lambda y: F.floor(y / ANCHOR_Y).cast("long")
-    left = fills.select(*PAGE, F.col(key).alias("key"), F.col("x0").alias("fx0"), F.col("y0").alias("fy0")).withColumn(
-        "bucket", F.explode(F.array(bucket(F.col("fy0")) - 1, bucket(F.col("fy0")), bucket(F.col("fy0")) + 1))
-    )
-    labels = spans.where(~is_blue(F.col("color")) & (F.trim("text") != "")).withColumn("bucket", bucket(F.col("y0")))
-    near = (F.abs(F.col("y0") - F.col("fy0")) <= ANCHOR_Y) & (F.col("x1") < F.col("fx0") - ANCHOR_X)
-    best = F.max(F.struct("x1", (-F.col("ord")).alias("rank"), "text", "x0", "y0", "y1")).alias("a")
-    return (
-        left.join(labels, [*PAGE, "bucket"]).where(near).groupBy(*PAGE, "key").agg(best)
-        .select(*PAGE, F.col("key").alias(key), (-F.col("a.rank")).alias("a_ord"), F.col("a.text").alias("a_text"),
-                *[F.col(f"a.{k}").alias(f"a_{k}") for k in RECT])
-    )
+    found = anchored(fills.select(*PAGE, key, "x0", "y0").join(label_pages(spans), PAGE)).where("anchor is not null")
+    return found.select(*PAGE, key, (-F.col("anchor.rank")).alias("a_ord"), F.col("anchor.text").alias("a_text"), *[F.col(f"anchor.{k}").alias(f"a_{k}") for k in RECT])
 
 
-def label_instances(spans: DataFrame, near_black_first: bool) -> DataFrame:
-    """(pair_id, page, label, i, x0, y0, x1, y1): occurrences of each label from top to bottom.
+def occurrences(labels: Column, near_black_first: bool) -> Column:
+    """Of equal labels, the occurrences from top to bottom: array<struct<y0,x0,ord,x1,y1>>.
 
-    near_black_first: only near-black spans, unless a label has none on the page. Spans within 2 points of the
-    last one kept are the same occurrence; that is a fold, as what is kept decides what follows.
+    near_black_first: only near-black spans, unless there are none. Spans within 2 points of the last one kept are
+    the same occurrence; that is a fold, as what is kept decides what follows.
     """
-    labels = spans.where(~is_blue(F.col("color"))).withColumn("label", norm("text")).where("label <> ''")
-    black = is_near_black(F.col("color")) if near_black_first else F.lit(True)
-    item = F.struct("y0", "x0", "ord", "x1", "y1")
-    every = labels.groupBy(*PAGE, "label").agg(
-        F.collect_list(F.when(black, item)).alias("black"), F.collect_list(F.when(~black, item)).alias("other")
-    )
-    found = F.array_sort(F.when(F.size("black") > 0, F.col("black")).otherwise(F.col("other")))
+    item = lambda s: F.struct(s["y0"], s["x0"], s["ord"], s["x1"], s["y1"])
+    black = F.filter(labels, lambda s: s["black"])
+    chosen = F.when(F.size(black) > 0, black).otherwise(labels) if near_black_first else labels
+    return F.aggregate(F.array_sort(F.transform(chosen, item)), F.array().cast("array<struct<y0:double,x0:double,ord:bigint,x1:double,y1:double>>"), keep_apart)
 
-    kind = "array<struct<y0:double,x0:double,ord:bigint,x1:double,y1:double>>"
-    folded = F.aggregate(found, F.array().cast(kind), keep_apart)
-    return every.select(*PAGE, "label", F.posexplode(folded).alias("i", "s")).select(*PAGE, "label", "i", *[F.col(f"s.{k}").alias(k) for k in RECT])
+
+def label_instances(spans: DataFrame, near_black_first: bool) -> DataFrame:
+    """(pair_id, page, label, i, x0, y0, x1, y1): the occurrences of each label of a page."""
+    labels = spans.where(~is_blue(F.col("color"))).select(*PAGE, label_item().alias("s")).where("s.label <> ''")
+    every = labels.groupBy(*PAGE, F.col("s.label").alias("label")).agg(F.collect_list("s").alias("same"))
+    return every.select(*PAGE, "label", F.posexplode(occurrences(F.col("same"), near_black_first)).alias("i", "s")).select(*PAGE, "label", "i", *[F.col(f"s.{k}").alias(k) for k in RECT])
 
 
 def keep_apart(kept: Column, s: Column) -> Column:
@@ -105,30 +137,51 @@ def keep_apart(kept: Column, s: Column) -> Column:
     return F.when(F.coalesce(again, F.lit(False)), kept).otherwise(F.concat(kept, F.array(s)))
 
 
+def nearest(found: Column, x0: Column, y0: Column) -> Column:
+    """The occurrence at a place, or the nearest by y, then x: struct<far,dy,dx,i,x0,y0>, null if there is none."""
+
+    def item(s: Column, i: Column) -> Column:
+        dy, dx = F.abs(s["y0"] - y0), F.abs(s["x0"] - x0)
+        exact = (dy < MATCH_TOL) & (dx < MATCH_TOL)
+        return F.struct((~exact).alias("far"), F.when(~exact, dy).alias("dy"), F.when(~exact, dx).alias("dx"), i.alias("i"), s["x0"].alias("x0"), s["y0"].alias("y0"))
+
+    return F.array_min(F.transform(found, item))
+
+
 def instance_index(anchors: DataFrame, instances: DataFrame, key: str = "grp") -> DataFrame:
     """(pair_id, page, key, label, i, s_x0, s_y0): the occurrence that an anchor is, or the nearest by y, then x."""
     a = anchors.withColumn("label", norm("a_text")).where("label <> ''").select(*PAGE, key, "label", "a_x0", "a_y0")
-    dy, dx = F.abs(F.col("y0") - F.col("a_y0")), F.abs(F.col("x0") - F.col("a_x0"))
-    exact = (dy < MATCH_TOL) & (dx < MATCH_TOL)
-    order = F.struct((~exact).alias("far"), F.when(~exact, dy).alias("dy"), F.when(~exact, dx).alias("dx"), "i", "x0", "y0")
-    return (
-        a.join(instances, [*PAGE, "label"]).groupBy(*PAGE, key, "label").agg(F.min(order).alias("m"))
-        .select(*PAGE, key, "label", F.col("m.i").alias("i"), F.col("m.x0").alias("s_x0"), F.col("m.y0").alias("s_y0"))
-    )
+    found = instances.groupBy(*PAGE, "label").agg(F.array_sort(F.collect_list(F.struct("i", "x0", "y0"))).alias("found"))
+    m = nearest(F.col("found"), F.col("a_x0"), F.col("a_y0"))
+    return a.join(found, [*PAGE, "label"]).withColumn("m", m).select(*PAGE, key, "label", F.col("m.i").alias("i"), F.col("m.x0").alias("s_x0"), F.col("m.y0").alias("s_y0"))
 
 
-def map_to_template(fills: DataFrame, synth: DataFrame, tmpl: DataFrame, pages: DataFrame, key: str = "grp") -> DataFrame:
-    """Each fill at its place on the template: its label's Nth occurrence there, moved by the labels' distance.
+def placed(fills: DataFrame, tmpl: DataFrame, pages: DataFrame) -> DataFrame:
+    """fills (with labels, their page's array) of the shared pages with label, and field: the rectangle on the template, or null.
 
-    Columns of fills with the template's rectangle; fills without an anchor or a counterpart drop out.
+    A fill goes to its label's occurrence on the template that has the number of its anchor among the occurrences on its own page, moved by the
+    labels' distance. label is null without an anchor, and empty for one of which nothing is left when it is normalised.
     """
-    at = instance_index(left_anchor(fills, synth, key), label_instances(synth, False), key)
-    there = label_instances(tmpl, True).select(*PAGE, "label", "i", *[F.col(k).alias(f"t_{k}") for k in RECT])
-    moved = fills.join(at.join(there, [*PAGE, "label", "i"]), [*PAGE, key]).join(pages.select(*PAGE, F.col("x0").alias("p_x0"), F.col("x1").alias("p_x1")), PAGE)
-    dx, dy = F.col("t_x0") - F.col("s_x0"), F.col("t_y0") - F.col("s_y0")
-    mapped = {"x0": F.col("x0") + dx, "y0": F.col("y0") + dy, "x1": F.col("x1") + dx, "y1": F.col("y1") + dy}
-    field = field_rect(mapped, F.col("t_y1") - F.col("t_y0"), F.col("p_x0"), F.col("p_x1"))
-    return moved.select(*PAGE, key, "text", *[v.alias(k) for k, v in field.items()])
+    there = pages.select(*PAGE, F.col("x0").alias("p_x0"), F.col("x1").alias("p_x1")).join(label_pages(tmpl).withColumnRenamed("labels", "t_labels"), PAGE, "left")
+    found = anchored(fills.join(there, PAGE)).withColumn("label", F.col("anchor.label"))
+    same = lambda c: F.filter(c, lambda s: s["label"] == F.col("label"))
+    found = found.withColumn("at", F.when(F.col("label") != "", nearest(occurrences(same("labels"), False), F.col("anchor.x0"), F.col("anchor.y0"))))
+    there = F.coalesce("t_labels", F.array().cast(found.schema["t_labels"].dataType))
+    found = found.withColumn("to", F.when(F.col("label") != "", F.get(occurrences(F.filter(there, lambda s: s["label"] == F.col("label")), True), F.col("at.i"))))
+    dx, dy = F.col("to.x0") - F.col("at.x0"), F.col("to.y0") - F.col("at.y0")
+    moved = {"x0": F.col("x0") + dx, "y0": F.col("y0") + dy, "x1": F.col("x1") + dx, "y1": F.col("y1") + dy}
+    field = field_rect(moved, F.col("to.y1") - F.col("to.y0"), F.col("p_x0"), F.col("p_x1"))
+    box = F.when(F.col("to").isNotNull(), F.struct(*[v.alias(k) for k, v in field.items()]))
+    return found.drop("labels", "t_labels", "anchor").withColumn("field", box)
+
+
+def fields_of(placed_fills: DataFrame, key: str = "grp") -> DataFrame:
+    return placed_fills.where("field is not null").select(*PAGE, key, "text", *[F.col(f"field.{k}").alias(k) for k in RECT])
+
+
+def map_to_template(fills: DataFrame, synth: DataFrame, tmpl: DataFrame, pages: DataFrame, key: str = "grp") -> DataFrame:
+    """Each fill at its place on the template; fills without an anchor or a counterpart drop out."""
+    return fields_of(placed(fills.select(*PAGE, key, "text", *RECT).join(label_pages(synth), PAGE), tmpl, pages), key)
 
 
 def emit_cells(fields: DataFrame, order: str = "grp") -> DataFrame:
@@ -161,32 +214,26 @@ def number_cells(cells: DataFrame, order: list[str]) -> DataFrame:
     return cells.withColumn("id", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_c"), (F.row_number().over(w) - 1).cast("string")))
 
 
-def tmpl_fields(synth: DataFrame, tmpl: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(merged fills, their fields on the template) of the shared pages."""
-    there = pages.select(*PAGE)
-    synth, tmpl = synth.join(there, PAGE), tmpl.join(there, PAGE)
-    fills = merge_spans(blue_spans(synth)).where("x1 - x0 >= 2 and y1 - y0 >= 2")
-    return fills, map_to_template(fills, synth, tmpl, pages)
+def placed_fills(synth: DataFrame, tmpl: DataFrame, pages: DataFrame) -> DataFrame:
+    """The merged fills of the shared pages, with label and field as `placed` has them; spans are dealt by page once."""
+    blue = is_blue(F.col("color"))
+    fill, label = F.when(blue & shown(), merge_order()), F.when(~blue, label_item())
+    whole = synth.groupBy(*PAGE).agg(F.array_sort(F.collect_list(fill)).alias("spans"), F.collect_list(label).alias("labels"))
+    return placed(merged(whole).where("x1 - x0 >= 2 and y1 - y0 >= 2"), tmpl, pages)
 
 
 def detect_cells(synth: DataFrame, tmpl: DataFrame, pages: DataFrame) -> DataFrame:
     """(pair_id, page, id, x0, y0, x1, y1, text, enabled): the cells to write on each template."""
-    _, fields = tmpl_fields(synth, tmpl, pages)
-    cells = dedupe_cells(emit_cells(fields), ["grp", "part"])
+    cells = dedupe_cells(emit_cells(fields_of(placed_fills(synth, tmpl, pages))), ["grp", "part"])
     return number_cells(cells, ["grp", "part"]).select(*PAGE, "id", *RECT, "text", F.lit(True).alias("enabled"))
 
 
 def diff_stats(synth: DataFrame, tmpl: DataFrame, pages: DataFrame) -> DataFrame:
     """(pair_id, page, merged, kept, skipped_no_anchor, skipped_overflow) of each shared page."""
-    fills, fields = tmpl_fields(synth, tmpl, pages)
-    there = synth.join(pages.select(*PAGE), PAGE)
-    anchored = left_anchor(fills, there).where(norm("a_text") != "").select(*PAGE, "grp", F.lit(1).alias("anchored"))
-    kept = fields.select(*PAGE, "grp", F.lit(1).alias("kept"))
-    each = fills.select(*PAGE, "grp").join(anchored, [*PAGE, "grp"], "left").join(kept, [*PAGE, "grp"], "left")
-    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
-    stats = each.groupBy(*PAGE).agg(
-        F.count(F.lit(1)).alias("merged"), count(F.col("kept").isNotNull(), "kept"), count(F.col("anchored").isNull(), "skipped_no_anchor"),
-        count(F.col("anchored").isNotNull() & F.col("kept").isNull(), "skipped_overflow"),
+    has_label, has_field = F.coalesce(F.col("label") != "", F.lit(False)), F.col("field").isNotNull()
+    stats = placed_fills(synth, tmpl, pages).groupBy(*PAGE).agg(
+        F.count(F.lit(1)).alias("merged"), F.count_if(has_field).alias("kept"), F.count_if(~has_label).alias("skipped_no_anchor"),
+        F.count_if(has_label & ~has_field).alias("skipped_overflow"),
     )
     return pages.select(*PAGE).join(stats, PAGE, "left").fillna(0, ["merged", "kept", "skipped_no_anchor", "skipped_overflow"])
 
@@ -206,3 +253,13 @@ def template_has_match(synth: DataFrame, tmpl: DataFrame) -> DataFrame:
     tb = t.withColumn("band", F.explode(F.sequence(band(F.col("y0")), F.greatest(band(F.col("y0")), band(F.col("y1"))))))
     hit = sb.join(tb, [*PAGE, "band"]).where(close | overlap | (over >= 0.35)).select(*PAGE, "ord").distinct()
     return hit.unionByName(s.where("sn = ''").select(*PAGE, "ord"))
+
+
+def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(pair_id, page, s_ord, t_ord, iou) of the boxes of a page that overlap: joined by bands of y, each pair in the band where its overlap begins."""
+    band = lambda y: F.floor(y / 64).cast("long")
+    bands = lambda a, b: F.explode(F.sequence(band(F.col(a)), F.greatest(band(F.col(a)), band(F.col(b)))))
+    s = left.select(*PAGE, F.col("ord").alias("s_ord"), *[F.col(k).alias(f"s_{k}") for k in RECT]).withColumn("band", bands("s_y0", "s_y1"))
+    t = right.select(*PAGE, F.col("ord").alias("t_ord"), *RECT).withColumn("band", bands("y0", "y1"))
+    first = band(F.greatest("s_y0", "y0")) == F.col("band")
+    return s.join(t, [*PAGE, "band"]).where(first).select(*PAGE, "s_ord", "t_ord", iou(rect("s_"), rect()).alias("iou")).where("iou > 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +18,14 @@ b as (select *, cast(40 + pitch * r as double) + cast(sk % 3 as double) / 2 y fr
 SECOND = """concat(cast(100 + pk % 900 as string), ',', lpad(cast(sk % 1000 as string), 3, '0'),
   case pk % 3 when 0 then ' 2.5×10³' when 1 then '/a b/c' else '' end)"""
 
+#: The spans of a row: what is missing is null.
 SYNTH = (
     "with " + BASE + ", f as (select *, " + SECOND + """ f2, cast(160 + 6 * length(p_name) + pk % 24 as double) fx,
-  y + cast(pk % 4 as double) / 2 fy from b)
-select pair_id, page, cast(3 * r as bigint) ord, p_type as text, cast(36 as double) x0, y y0, cast(36 + 6 * length(p_type) as double) x1, y + 10 y1,
-  case when sk % 7 = 0 then 8421504 else 1118481 end color from b where pk % 17 <> 0
-union all select pair_id, page, cast(3 * r + 1 as bigint), p_name, cast(160 as double), y, cast(160 + 6 * length(p_name) as double), y + 10, 2450411 from b
-union all select pair_id, page, cast(3 * r + 2 as bigint), f2, fx, fy, fx + 6 * length(f2), fy + 10, 2450411 from f where pk % 2 = 0"""
+  y + cast(pk % 4 as double) / 2 fy from b),
+s as (select *, case n when 0 then p_type when 1 then p_name else f2 end as text, case n when 0 then cast(36 as double) when 1 then cast(160 as double) else fx end x0,
+  case when n = 2 then fy else y end y0 from f{each 0 1 2} where n = 1 or n = 0 and pk % 17 <> 0 or n = 2 and pk % 2 = 0)
+select pair_id, page, cast(3 * r + n as bigint) ord, text, x0, y0, x0 + 6 * length(text) x1, y0 + 10 y1,
+  case when n > 0 then 2450411 when sk % 7 = 0 then 8421504 else 1118481 end color from s"""
 )
 TMPL = (
     "with " + BASE + """
@@ -57,10 +60,10 @@ select l_orderkey * 10 + l_linenumber id, l_partkey pk, l_suppkey sk, cast(64 +
 from {lineitem}"""
 
 JOBS = """
-select o_orderkey job_id, cast(s as int) seq, case when s = 3 and o_orderstatus = 'P' then 'error'
-  when s = 0 then 'queued' when s = 1 then 'calling_modal' when s = 2 then 'stamping' else 'done' end status,
-  case when s = 3 and o_orderstatus = 'P' then concat('failed ', cast(o_custkey as string)) end error
-from {orders}, (select 0 s union all select 1 union all select 2 union all select 3) k"""
+select o_orderkey job_id, cast(n as int) seq, case when n = 3 and o_orderstatus = 'P' then 'error'
+  when n = 0 then 'queued' when n = 1 then 'calling_modal' when n = 2 then 'stamping' else 'done' end status,
+  case when n = 3 and o_orderstatus = 'P' then concat('failed ', cast(o_custkey as string)) end error
+from {orders}{each 0 1 2 3}"""
 
 LINES = """
 select l_orderkey job_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 i,
@@ -68,8 +71,14 @@ select l_orderkey job_id, row_number() over (partition by l_orderkey order by l_
 from {lineitem} join {part} on l_partkey = p_partkey"""
 
 
+def each(sql: str, as_sql: str) -> str:
+    """Rows repeated for some numbers n, in the words of an engine."""
+    return re.sub(r"\{each ([0-9 ]+)\}", lambda m: as_sql.format(", ".join(m[1].split())), sql)
+
+
 def duck(sql: str) -> str:
     """A fixture as DuckDB text."""
+    sql = each(sql, ", (select unnest([{}]) n) k")
     for t in ("lineitem", "part", "orders", "documents"):
         sql = sql.replace("{" + t + "}", t)
     return sql.replace("{div}", "//")
@@ -85,6 +94,7 @@ class Inputs:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def sql(self, text: str, **more: str) -> DataFrame:
+        text = each(text, " lateral view explode(array({})) k as n")
         names = [t for t in ("lineitem", "part", "orders", "documents") if "{" + t + "}" in text]
         return self.spark.sql(text, **{t: self.table(t) for t in names})
 
