@@ -11,6 +11,9 @@ SIGNS, PLAIN = "×–—’‘“”°µμ\n\t", "x--''\"\" uu  "
 SCIENTIFIC = r"(\d+(?:\.\d+)?)\s*[xX×]\s*10\s*[\^¹]?[\s]*([0-9¹²³⁴⁵⁶⁷⁸⁹⁰]+)"
 THOUSANDS = r"(?<=\d),(?=\d{3}(\D|$))"
 SOFT_LIMIT, HARD_LIMIT, WORD_LIMIT = 24, 48, 9
+# The characters that the word model and the tile model write.
+WORD_CHARACTERS = " !\"#%&'()*+,-./0123456789:;?ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
+TILE_CHARACTERS = " !\"#&'()*+,-./0123456789:;?ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
 #: Private-use marks around a part that is still to be rewritten.
 OPEN, CLOSE = chr(0xE000), chr(0xE001)
 
@@ -34,6 +37,11 @@ def strip_thousands(c) -> Column:
     return F.regexp_replace(column(c), "(?U)" + THOUSANDS, "")
 
 
+def outside(characters: str) -> str:
+    """A pattern of all characters but these."""
+    return "[^" + "".join(f"\\{ch}" if ch in "\\]^-[&" else ch for ch in characters) + "]"
+
+
 def _tidy(c: Column, drop: str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, drop, ""), " {2,}", " "))
 
@@ -53,13 +61,13 @@ def sanitize_line(c) -> Column:
 
 def sanitize_word(c) -> Column:
     """To the charset of the word model; nothing left is `_`."""
-    out = _tidy(F.translate(column(c), SIGNS + "^<>", PLAIN), r"[^\x20-\x7E]|[$<=>@\[\\\]^`{|}~]")
+    out = _tidy(F.translate(column(c), SIGNS + "^<>", PLAIN), outside(WORD_CHARACTERS))
     return F.when(out == "", "_").otherwise(out)
 
 
 def sanitize_tile(c) -> Column:
     """To the charset of the tile model; nothing left is a space."""
-    out = _tidy(F.translate(column(c), SIGNS + "^", PLAIN), r"[^\x20-\x7E]|[$%<=>@\[\\\]^`{|}~]")
+    out = _tidy(F.translate(column(c), SIGNS + "^", PLAIN), outside(TILE_CHARACTERS))
     return F.when(out == "", " ").otherwise(out)
 
 

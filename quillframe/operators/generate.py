@@ -1,7 +1,8 @@
-"""Line generators around a pluggable sampler: quality checks with retries, words side by side, tiles cropped.
+"""Lines from a pluggable sampler: attempts planned and judged as rows, words side by side, tiles cropped.
 
-A sampler is `sample(text, tokens, seed) -> gray array` (ink dark on white); its model is loaded once, by whoever
-builds it, before the first frame of a partition.
+A sampler is `sample(text, tokens, seed) -> gray array` (ink dark on white); its model is loaded once a partition, by
+the function that makes it. Nothing here decides how many attempts there are or which one stays: that is the plan of
+`quality.retry_plan`, the rules of `quality.judge` and the choice of `quality.best_attempt`.
 """
 
 from __future__ import annotations
@@ -10,87 +11,70 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from quillframe.functions.text import WORD_LIMIT
 from quillframe.sources import png
 
-from . import kernels
+from . import kernels, quality, raster
 
 Sampler = Callable[[str, int, int | None], np.ndarray]
-# Dark threshold, token bounds.
-DARK, FLOOR, CEILING, WORD = 200, 64, 256, 9
+#: Rounds of attempts: the plan never has more for a line.
+ROUNDS = 3
+INK = "w int, n_pixels long, n_ink long, ink_w int, n_left long"
 
 
-def seeded(seed: int | None, by: int) -> int | None:
-    return None if seed is None else seed + by
-
-
-def digit_heavy(text: str) -> bool:
-    alnum = [c for c in text if c.isalnum()]
-    return bool(alnum) and 10 * sum(c.isdigit() for c in alnum) >= 7 * len(alnum)
-
+def ink_of(gray: np.ndarray) -> tuple[int, int, int, int, int]:
+    """The columns of raster.ink_metrics for one array."""
+    dark = gray < raster.DARK
+    columns = np.flatnonzero(dark.any(0))
+    left = max(1, gray.shape[1] * 15 // 100)
+    return gray.shape[1], dark.size, int(dark.sum()), int(np.ptp(columns)) + 1 if len(columns) else 0, int(dark[:, :left].sum())
 
-def first_tokens(ceiling: int, text: str) -> int:
-    t = max(FLOOR, min(CEILING, ceiling, 16 + 12 * max(1, len(text))))
-    return min(CEILING, max(t, min(ceiling, 96))) if digit_heavy(text) else t
 
+def drawn(attempts: DataFrame, make: Callable[[], Sampler], key: list[str]) -> DataFrame:
+    """attempts (key, attempt, text, tokens, attempt_seed) with image binary and its ink; make() is called once a partition."""
 
-def measure(gray: np.ndarray) -> dict[str, int]:
-    dark = gray < DARK
-    xs = np.flatnonzero(dark.any(0))
-    left = max(1, gray.shape[1] * 15 // 100)
-    return {"w": gray.shape[1], "n_pixels": dark.size, "n_ink": int(dark.sum()), "ink_w": int(xs[-1] - xs[0] + 1) if len(xs) else 0, "n_left": int(dark[:, :left].sum())}
-
-
-def verdict(gray: np.ndarray, text: str) -> str:
-    """The same rules as quality.verdict, for one array."""
-    m = measure(gray)
-    dens, chars = m["n_ink"] / m["n_pixels"], max(1, len(text.replace(" ", "")))
-    if dens < 0.008:
-        return f"near_empty dens={dens:.4f}"
-    if m["ink_w"] < max(24, 3.5 * min(chars, 8)):
-        return f"too_narrow ink_w={m['ink_w']} nchar={chars}"
-    if m["w"] >= 400 and dens < 0.04 and 100 * m["n_left"] > 85 * max(1, m["n_ink"]):
-        return f"left_truncated dens={dens:.4f} w={m['w']}"
-    return f"sparse_wide dens={dens:.4f} w={m['w']}" if m["w"] >= 700 and dens < 0.035 else "ok"
-
-
-def score(gray: np.ndarray) -> float:
-    m = measure(gray)
-    return m["n_ink"] / m["n_pixels"] * max(m["ink_w"], 1)
-
-
-def checked_line(sample: Sampler, text: str, ceiling: int = 128, seed: int | None = None) -> tuple[np.ndarray, str]:
-    """(image, verdict): sampled again with more tokens while the check fails; the better image stays, strokes thickened."""
-    tokens = first_tokens(ceiling, text)
-    kept = sample(text, tokens, seed)
-    reason = verdict(kept, text)
-    for attempt in range(1, 3 if digit_heavy(text) else 2):
-        if reason == "ok":
-            break
-        tokens = min(CEILING, max(tokens + 32, tokens * 3 // 2))
-        other = sample(text, tokens, seeded(seed, attempt))
-        if (found := verdict(other, text)) == "ok" or score(other) > score(kept):
-            kept, reason = other, found
-    return kernels.thicken(kept), reason
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = make()
+        for f in frames:
+            grays = [sample(t, int(n), None if pd.isna(s) else int(s)) for t, n, s in zip(f.text, f.tokens, f.attempt_seed)]
+            ink = pd.DataFrame([ink_of(g) for g in grays], columns=[c.split()[0] for c in INK.split(", ")])
+            yield pd.concat([f.reset_index(drop=True), ink], axis=1).assign(image=[png.encode(kernels.thicken(g)) for g in grays])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in attempts.schema)
+    return attempts.mapInPandas(run, f"{kinds}, {INK}, image binary")
+
+
+def checked_lines(lines: DataFrame, make: Callable[[], Sampler], key: list[str], ceiling: int = 128) -> DataFrame:
+    """lines (key, text, seed) with image binary, attempt and reason: the attempt that stays, its strokes thickened.
+
+    A round draws the next attempt of every line that none was good enough for yet, so attempts that are not needed
+    are never drawn. Texts are taken as they are; a null seed stays null.
+    """
+    plan = quality.retry_plan(lines.select(*key, "text", "seed", F.lit(ceiling).alias("ceiling"))).drop("ceiling", "seed")
+    rounds: list[DataFrame] = []
+    for k in range(ROUNDS):
+        due = plan.where(F.col("attempt") == k)
+        if rounds:
+            due = due.join(rounds[-1].where(~F.col("ok")).select(*key), key, "left_semi")
+        # Each round is drawn once; a lost executor costs drawing its part again, with the same seeds.
+        rounds.append(quality.judge(drawn(due, make, key)).persist(StorageLevel.DISK_ONLY))
+    tried = rounds[0].unionByName(rounds[1]).unionByName(rounds[2])
+    scored = tried.withColumn("score", F.col("n_ink") / F.col("n_pixels") * F.greatest("ink_w", F.lit(1)))
+    best = quality.best_attempt(scored, key).select(*key, "attempt")
+    return lines.join(tried.join(best, [*key, "attempt"]).select(*key, "image", "attempt", "reason"), key)
 
 
 def word_line(sample: Sampler, words: list[str], seed: int | None = None) -> np.ndarray:
-    """Words of at most nine characters, each sampled on its own, side by side."""
-    return kernels.concat_words([sample(w[:WORD], len(w[:WORD]), seeded(seed, i)) for i, w in enumerate(words)])
+    """Words, each sampled on its own up to the word limit, side by side; seeds follow the words' places."""
+    cut = [w[:WORD_LIMIT] for w in words]
+    seeds = [None] * len(cut) if seed is None else range(seed, seed + len(cut))
+    return kernels.concat_words([sample(w, len(w), s) for w, s in zip(cut, seeds)])
 
 
 def tile_line(sample: Sampler, text: str, seed: int | None = None) -> np.ndarray:
     """One tile of fixed width, cropped to the line."""
     return kernels.crop_line(sample(text, kernels.TILE_MOST // 8, seed), text)
-
-
-def checked_generator(make: Callable[[], Sampler], ceiling: int = 128) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A generator for batch.generate (schema `job_id …, i …, image binary, reason string`); make() is called once a partition."""
-
-    def run(frames):
-        sample = make()
-        for f in frames:
-            out = [checked_line(sample, t, ceiling, None if pd.isna(s) else int(s)) for t, s in zip(f.text, f.line_seed)]
-            yield pd.DataFrame({"job_id": f.job_id, "i": f.i, "image": [png.encode(a) for a, _ in out], "reason": [r for _, r in out]})
-
-    return run

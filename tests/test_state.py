@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.operators import batch, generate, kernels, quality
+from quillframe.operators import generate, quality
 from quillframe.sources import png, state_store
 
 
@@ -21,6 +21,29 @@ def test_state_document(spark, tmp_path):
     state_store.save_state(tables, str(tmp_path / "log"))
     state_store.save_state(tables, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log" / "styles")).count() == 4
+    again = state_store.load_state(spark, str(tmp_path / "log"))
+    # The default style is as old as the plan that makes it.
+    rows = lambda state: {t: sorted(map(str, df.drop("created_at").collect())) for t, df in state.items()}
+    assert rows(again) == rows(tables)
+    later = again | {"jobs": again["jobs"].withColumn("status", F.lit("done")), "settings": again["settings"].withColumn("active_style_id", F.lit("s1"))}
+    state_store.save_state(later, str(tmp_path / "log"))
+    last = state_store.load_state(spark, str(tmp_path / "log"))
+    assert [r.status for r in last["jobs"].collect()] == ["done"] and last["settings"].first().active_style_id == "s1" and last["jobs"].columns == tables["jobs"].columns
+
+
+def test_style_updates_fail_as_stated(spark):
+    from quillframe.operators import state
+
+    styles = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, style_text string")
+    patch = lambda *rows: spark.createDataFrame(list(rows), "id string, style_text string")
+    assert {r.id: r.style_text for r in state.update_style_texts(styles, patch(("a", " new "))).collect()} == {"a": "new", "b": "y"}
+    for rows, fault in ((("a", "  "), "required"), (("a", None), "required"), (("zz", "t"), "no such id")):
+        with pytest.raises(Exception, match=fault):
+            state.update_style_texts(styles, patch(rows)).collect()
+    settings = spark.createDataFrame([("a", "b"), ("a", None)], "active_style_id string, wanted string")
+    assert sorted(r.active_style_id for r in state.activate(settings, styles).collect()) == ["a", "b"]
+    with pytest.raises(Exception, match="no such id"):
+        state.activate(settings.withColumn("wanted", F.lit("zz")), styles).collect()
 
 
 def test_registering(spark):
@@ -46,35 +69,64 @@ def test_prepared_styles(spark):
 
 
 def test_checked_lines(spark):
-    """A sampler that fails until it gets enough tokens."""
-    calls = []
-
-    def sample(text, tokens, seed):
-        calls.append((tokens, seed))
-        a = np.full((64, 300), 255, np.uint8)
-        if tokens >= 140:
-            a[20:40, 10:200] = 0
-        return a
-
-    image, reason = generate.checked_line(sample, "10000", 128, 7)
-    assert calls == [(96, 7), (144, 8)] and reason == "ok" and image.min() <= 40
-    calls.clear()
-    assert generate.checked_line(sample, "ab", 16, None)[1].startswith("near_empty") and calls == [(64, None), (96, None)]
-    assert generate.word_line(sample, ["a", "b"], 1).shape == (64, 608)
-    assert generate.tile_line(sample, "ab").shape[0] <= 64
-    lines = spark.createDataFrame([(1, 0, "hello", 3), (1, 1, "12 34", None)], "job_id long, i int, text string, seed long")
-    make = lambda: lambda text, tokens, seed: png.decode(kernels.block_letters(text * 4, seed))
-    out = batch.generate(lines, generate.checked_generator(make), "job_id long, i int, image binary, reason string").collect()
-    assert len(out) == 2 and all(r.reason == "ok" for r in out)
-
-
-def test_array_rules_are_the_column_rules(spark):
+    """Later attempts are drawn for lines that fail only, with more tokens and the next seed; the best one stays."""
+
+    def sampler():
+        """Writes nothing until it gets enough tokens; the seed shows in the width."""
+
+        def sample(text, tokens, seed):
+            a = np.full((64, 300 + (seed or 0)), 255, np.uint8)
+            if tokens >= 140 or text == "plain":
+                a[20:40, 10:200] = 0
+            elif text == "faint":
+                a[20, 10 : 10 + tokens] = 0
+            return a
+
+        return sample
+
+    rows = [(1, 0, "10000", 7), (1, 1, "ab", None), (1, 2, "plain", 5), (2, 0, "faint", 0)]
+    lines = spark.createDataFrame(rows, "job_id long, i int, text string, seed long")
+    got = {(r.job_id, r.i): (r.attempt, r.reason.split()[0], png.decode(bytes(r.image))) for r in generate.checked_lines(lines, sampler, ["job_id", "i"]).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {(1, 0): (1, "ok"), (1, 1): (0, "near_empty"), (1, 2): (0, "ok"), (2, 0): (1, "near_empty")}
+    assert got[1, 0][2].shape[1] == 308 and got[1, 2][2].shape[1] == 305 and got[1, 0][2].min() <= 40
+    assert generate.checked_lines(lines.limit(0), sampler, ["job_id", "i"]).count() == 0
+    draw = lambda text, tokens, seed: np.full((64, 300), 255, np.uint8)
+    assert generate.word_line(draw, ["a", "b"], 1).shape == (64, 608)
+    assert generate.tile_line(draw, "ab").shape[0] <= 64
+
+
+def test_checked_lines_take_attempts_in_order(spark):
+    """Against trying one line after the other by the columns' plan."""
+    r = np.random.default_rng(1)
+    lines = spark.createDataFrame([(k, "".join(r.choice(list("0123456789a"), 6)), int(r.integers(0, 90))) for k in range(60)], "i int, text string, seed long")
+
+    def make():
+        def sample(text, tokens, seed):
+            a, g = np.full((64, 320), 255, np.uint8), np.random.default_rng(seed * 1000 + tokens)
+            a[: g.integers(1, 40), : g.integers(1, 120)] = 0
+            return a
+
+        return sample
+
+    got = {x.i: x.attempt for x in generate.checked_lines(lines, make, ["i"]).collect()}
+    plan = quality.retry_plan(lines.withColumn("ceiling", F.lit(128))).collect()
+    rows = [(x.i, x.attempt, x.text, *generate.ink_of(make()(x.text, x.tokens, x.attempt_seed))) for x in plan]
+    judged = quality.judge(spark.createDataFrame(rows, f"i int, attempt int, text string, {generate.INK}")).collect()
+    for i, attempt in got.items():
+        mine = sorted((x for x in judged if x.i == i), key=lambda x: x.attempt)
+        kept = mine[0]
+        for x in mine[1:]:
+            if not kept.ok and (x.ok or x.n_ink / x.n_pixels * max(1, x.ink_w) > kept.n_ink / kept.n_pixels * max(1, kept.ink_w)):
+                kept = x
+        assert attempt == kept.attempt
+
+
+def test_ink_of_an_array_is_the_pixels_ink(spark):
+    """One array's ink against the operator over pixels."""
+    from quillframe.operators import raster
+
     r = np.random.default_rng(0)
-    rows = []
-    for k in range(40):
-        w = int(r.choice([60, 450, 800]))
-        a = np.full((64, w), 255, np.uint8)
-        a[5 : 5 + int(r.integers(1, 50)), : int(r.integers(1, w))] = 0
-        rows.append(("ab cd", generate.verdict(a, "ab cd"), *generate.measure(a).values()))
-    df = spark.createDataFrame(rows, "text string, want string, w int, n_pixels long, n_ink long, ink_w int, n_left long")
-    assert all(x.reason == x.want for x in quality.judge(df).collect())
+    images = [np.where(r.random((9, int(w))) < p, 0, 255).astype(np.uint8) for w, p in ((3, 0.5), (40, 0.1), (41, 0.0), (7, 1.0))]
+    pixels = [(k, y, x, int(a[y, x])) for k, a in enumerate(images) for y in range(a.shape[0]) for x in range(a.shape[1])]
+    got = raster.ink_metrics(spark.createDataFrame(pixels, "img_id long, y int, x int, v int")).collect()
+    assert {x.img_id: tuple(x)[1:] for x in got} == {k: generate.ink_of(a) for k, a in enumerate(images)}
