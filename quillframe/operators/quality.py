@@ -69,3 +69,10 @@ def best_attempt(tried: DataFrame, key: list[str]) -> DataFrame:
     order = F.struct(F.col("ok").cast("int").alias("fine"), F.when(F.col("ok"), -F.col("attempt")).otherwise(F.col("score")).alias("by"), (-F.col("attempt")).alias("early"), "score")
     best = tried.groupBy(*key).agg(F.max(order).alias("b"))
     return best.select(*key, (-F.col("b.early")).alias("attempt"), (F.col("b.fine") == 1).alias("ok"), F.col("b.score").alias("score"))
+
+
+def failures(rules: DataFrame, key: str, rule: str = "rule") -> DataFrame:
+    """(key, failures string): which rules failed and how often, by name; counted first, so that no group is gathered."""
+    counted = rules.where(F.col(rule) != "ok").groupBy(key, rule).agg(F.count(F.lit(1)).alias("n"))
+    each = F.concat_ws(" x ", F.col(rule), F.col("n").cast("string"))
+    return counted.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(each)), ",").alias("failures"))

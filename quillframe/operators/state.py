@@ -111,3 +111,48 @@ def upsert_first(rows: DataFrame, newer: DataFrame, key: str, order: str) -> Dat
     both = newer.withColumn("__new", F.lit(0)).unionByName(rows.withColumn("__new", F.lit(1)))
     w = Window.partitionBy(key).orderBy("__new", order)
     return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__new")
+
+
+def update_style_texts(styles: DataFrame, patches: DataFrame) -> DataFrame:
+    """styles with the transcriptions of patches (id, style_text), stripped. A blank one fails, and so does an unknown id."""
+    text = F.trim(F.coalesce("new_text", F.lit("")))
+    given = patches.select(F.col("id").alias("of"), F.col("style_text").alias("new_text"), F.lit(True).alias("given"))
+    both = styles.join(given, F.col("id") == F.col("of"), "full")
+    fault = F.when(F.col("id").isNull(), F.concat(F.lit("no such id: "), "of")).when(F.col("given") & (text == ""), F.lit("style_text is required"))
+    checked = F.when(fault.isNotNull(), F.raise_error(fault).cast("string")).when(F.col("given"), text).otherwise(F.col("style_text"))
+    return both.withColumn("style_text", checked).where("coalesce(style_text, id) is not null").select(*styles.columns)
+
+
+def activate(settings: DataFrame, styles: DataFrame, wanted: str = "wanted") -> DataFrame:
+    """settings with the wanted style active (null: as it was); a style that is not there fails."""
+    known = styles.select(F.col("id").alias("__id")).withColumn("__there", F.lit(True))
+    out = settings.join(known, F.col(wanted) == F.col("__id"), "left")
+    fault = F.col(wanted).isNotNull() & F.col("__there").isNull()
+    chosen = F.when(fault, F.raise_error(F.concat(F.lit("no such id: "), wanted)).cast("string")).otherwise(F.coalesce(wanted, "active_style_id"))
+    return out.withColumn("active_style_id", chosen).select(*settings.columns)
+
+
+def cell_counts(cells: DataFrame, key: str) -> DataFrame:
+    """(key, cells, enabled): a missing flag counts as enabled."""
+    return cells.groupBy(key).agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.coalesce("enabled", F.lit(True))).alias("enabled"))
+
+
+def error_excerpt(error: Column, most: int = 800) -> Column:
+    return F.substring(error, 1, most)
+
+
+def upload_buckets(events: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, template, synthetic, upload, reset): where the two files of each pair stand after its events (side, action).
+
+    A side is empty, pending with a file chosen, saving once both are chosen, stored once both are saved; only then is there an
+    upload. reset: the last event chose or cleared a file, so that cells and jobs of the pair no longer count.
+    """
+    last = events.groupBy(key).agg(
+        *[F.max(F.when(F.col("side") == s, F.struct(order, "action")))["action"].alias(f"last_{s}") for s in ("template", "synthetic")],
+        F.max(F.struct(order, "action"))["action"].alias("last"),
+    )
+    chosen = lambda s: F.coalesce(F.col(f"last_{s}").isin("choose", "save"), F.lit(False))
+    saved = lambda s: F.coalesce(F.col(f"last_{s}") == "save", F.lit(False))
+    both = chosen("template") & chosen("synthetic")
+    bucket = lambda s: F.when(~chosen(s), "empty").when(~both, "pending").when(saved(s), "stored").otherwise("saving").alias(s)
+    return last.select(key, bucket("template"), bucket("synthetic"), (saved("template") & saved("synthetic")).alias("upload"), F.col("last").isin("choose", "clear").alias("reset"))

@@ -117,9 +117,7 @@ def template_has_match(i: Inputs) -> DataFrame:
 
 @query
 def iou_pairs(i: Inputs) -> DataFrame:
-    a = i.synth().select("pair_id", "page", F.col("ord").alias("s_ord"), *[F.col(k).alias(f"s_{k}") for k in detect.RECT])
-    b = i.tmpl().select("pair_id", "page", F.col("ord").alias("t_ord"), *detect.RECT)
-    return a.join(b, ["pair_id", "page"]).select("pair_id", "page", "s_ord", "t_ord", G.iou(detect.rect("s_"), detect.rect()).alias("iou")).where("iou > 0")
+    return detect.overlaps(i.synth(), i.tmpl())
 
 
 @query
@@ -238,8 +236,7 @@ def line_scores(i: Inputs) -> DataFrame:
 def failure_list(i: Inputs) -> DataFrame:
     m = i.metrics()
     reason = quality.verdict(m["w"], m["n_pixels"], m["n_ink"], m["ink_w"], F.lit(0), m["nchar"])
-    rule = F.regexp_extract(reason, "^[a-z_]+", 0)
-    return m.select((m["pk"] % 100).alias("job"), rule.alias("rule")).where("rule <> 'ok'").groupBy("job").agg(F.array_join(F.sort_array(F.collect_list("rule")), ",").alias("failures"))
+    return quality.failures(m.select((m["pk"] % 100).alias("job"), F.regexp_extract(reason, "^[a-z_]+", 0).alias("rule")), "job")
 
 
 @query
@@ -269,22 +266,17 @@ def zip_cells(i: Inputs) -> DataFrame:
 
 @query
 def valley_crop(i: Inputs) -> DataFrame:
-    import numpy as np
-    import pandas as pd
+    return raster.valley_crop(i.pixels(), 2)
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for r in f.itertuples():
-                a = np.full((int(r.h), 64), 255, np.uint8)
-                for p in r.pixels:
-                    a[p["y"], p["x"]] = p["v"]
-                c = kernels.crop_line(a, "ab")
-                out.append((r.img_id, c.shape[0], c.shape[1], int(c.sum())))
-            yield pd.DataFrame(out, columns=["img_id", "h", "w", "total"])
 
-    images = i.pixels().groupBy("img_id").agg((F.max("y") + 1).alias("h"), F.collect_list(F.struct("y", "x", "v")).alias("pixels"))
-    return images.mapInPandas(run, "img_id long, h int, w int, total long")
+@query
+def thicken_ink(i: Inputs) -> DataFrame:
+    return raster.thicken(i.pixels())
+
+
+@query
+def ink_edges(i: Inputs) -> DataFrame:
+    return raster.laplacian(i.pixels())
 
 
 @query
@@ -371,8 +363,40 @@ def cells_json(i: Inputs) -> DataFrame:
 
 @query
 def missing_files(i: Inputs) -> DataFrame:
-    p = i.table("part").select(F.col("p_name").alias("name"), "p_partkey", "p_size")
-    return state.missing_files(p, p.where("p_size > 20").select("name").distinct(), ["name"])
+    p = i.table("part").select(F.concat_ws("/", "p_brand", "p_name").alias("name"), "p_partkey", "p_size")
+    return state.missing_files(p, p.where("p_size > 20 and p_partkey % 3 = 0").select("name").distinct(), ["name"])
+
+
+@query
+def style_updates(i: Inputs) -> DataFrame:
+    styles = state.backfill_styles(_styles(i))
+    patches = i.table("customer").where("c_custkey % 5 = 2").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("  "), F.upper("c_mktsegment"), F.lit(" ")).alias("style_text"))
+    return state.update_style_texts(styles, patches).select("id", "style_text")
+
+
+@query
+def style_activation(i: Inputs) -> DataFrame:
+    c = i.table("customer").where("c_custkey > 1")
+    settings = c.select("c_custkey", F.lit("default").alias("active_style_id"), F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("s"), F.col("c_custkey").cast("string"))).alias("wanted"))
+    return state.activate(settings, _styles(i)).select("c_custkey", "active_style_id")
+
+
+@query
+def upload_buckets(i: Inputs) -> DataFrame:
+    e = i.table("events")
+    side = F.when(F.col("event_id") % 2 == 0, "template").otherwise("synthetic")
+    action = F.when(F.col("event_id") % 7 < 3, "choose").when(F.col("event_id") % 7 < 6, "save").otherwise("clear")
+    return state.upload_buckets(e.select("user_id", "event_id", side.alias("side"), action.alias("action")), "user_id", "event_id")
+
+
+@query
+def cell_counts(i: Inputs) -> DataFrame:
+    return state.cell_counts(_cells(i), "pair_id")
+
+
+@query
+def error_excerpt(i: Inputs) -> DataFrame:
+    return i.jobs().select("job_id", "seq", state.error_excerpt(F.repeat("error", F.lit(90))).alias("shown"))
 
 
 @query

@@ -251,7 +251,29 @@ SQL = {
     "enabled_lines": CELLS + "select pair_id, id, case when text is null or text = '' then ' ' else text end as text from cells where coalesce(enabled, true)",
     "cell_overrides": CELLS + "select pair_id, id, case when x0 >= 160 and text is not null then upper(text) else text end as text, case when x0 >= 160 and page = 0 then false else enabled end enabled from cells",
     "cells_json": CELLS + "select pair_id, cast(row_number() over (partition by pair_id order by page, ord) - 1 as int) as ord, id, page, x0, y0, x1, y1, coalesce(text, '') as text, coalesce(enabled, true) enabled from cells",
-    "missing_files": "select p_name as name, p_partkey, p_size from part where p_name not in (select p_name from part where p_size > 20)",
+    "missing_files": "select p_brand || '/' || p_name as name, p_partkey, p_size from part where p_brand || '/' || p_name not in (select p_brand || '/' || p_name from part where p_size > 20 and p_partkey % 3 = 0)",
+    "style_updates": STYLES + "select bf.id, case when c_custkey % 5 = 2 and c_custkey <> 1 then upper(c_mktsegment) else bf.style_text end as style_text from bf left join customer on 's' || c_custkey = bf.id",
+    "style_activation": "select c_custkey, case when c_custkey % 4 = 0 then 'default' else 's' || c_custkey end active_style_id from customer where c_custkey > 1",
+    "upload_buckets": "with e as (select user_id, event_id, event_id % 2 = 0 t, case when event_id % 7 < 3 then 'choose' when event_id % 7 < 6 then 'save' else 'clear' end act from events), "
+    "l as (select user_id, arg_max(act, event_id) filter (where t) a, arg_max(act, event_id) filter (where not t) b, arg_max(act, event_id) z from e group by all), "
+    "m as (select *, coalesce(a <> 'clear', false) ca, coalesce(b <> 'clear', false) cb from l) select user_id, case when not ca then 'empty' when not cb then 'pending' when a = 'save' then 'stored' else 'saving' end as template, "
+    "case when not cb then 'empty' when not ca then 'pending' when b = 'save' then 'stored' else 'saving' end synthetic, coalesce(a = 'save' and b = 'save', false) upload, z <> 'save' reset from m",
+    "cell_counts": CELLS + "select pair_id, count(*) cells, sum(case when enabled is null or enabled then 1 else 0 end)::bigint enabled from cells group by all",
+    "error_excerpt": with_duck("jobs") + " select job_id, seq, left(repeat(error, 90), 800) shown from jobs",
+    "generate_gather": LINES + " select job_id, i, text, cast(12 * greatest(1, length(text)) + 8 as int) w, cast(64 as int) h from lines",
+    "thicken_ink": PIX + " select p.img_id, p.y, p.x, case when exists (select 1 from pixels q where q.img_id = p.img_id and q.y in (p.y, p.y - 1) and q.x in (p.x, p.x - 1) and q.v < 200) then least(p.v, 40) else p.v end v from pixels p",
+    "ink_edges": PIX + ", s as (select img_id, max(y) h, max(x) w from pixels group by all), n as (select p.*, case when x = 0 then least(1, w) else x - 1 end l, case when x = w then greatest(w - 1, 0) else x + 1 end r, "
+    "case when y = 0 then least(1, h) else y - 1 end u, case when y = h then greatest(h - 1, 0) else y + 1 end d from pixels p join s using (img_id)) "
+    "select n.img_id, n.y, n.x, abs(2 * (a.v + b.v + c.v + e.v) - 8 * n.v) edge from n join pixels a on a.img_id = n.img_id and a.y = u and a.x = l join pixels b on b.img_id = n.img_id and b.y = u and b.x = r "
+    "join pixels c on c.img_id = n.img_id and c.y = d and c.x = l join pixels e on e.img_id = n.img_id and e.y = d and e.x = r",
+    "valley_crop": PIX + ", m as (select img_id, avg(v) < 127 low, max(x) + 1 w, max(y) + 1 h from pixels group by all), g as (select img_id, y, x, case when low then 255 - v else v end v from pixels join m using (img_id)), "
+    "c as (select img_id, x, sum(case when v < 205 then 1 else 0 end) ink from g group by all), k as (select a.img_id, a.x, sum(b.ink) s from c a join c b on a.img_id = b.img_id and abs(a.x - b.x) <= 3 group by all), "
+    "o as (select img_id, x from (select *, max(s) over (partition by img_id) top from k) z where s > 14 and s > 0.15 * top), r as (select img_id, min(x) a, max(x) b from (select *, x - row_number() over (partition by img_id order by x) i from o) z group by img_id, i), "
+    "q as (select *, min(a) over (partition by img_id) first, lag(b) over (partition by img_id order by a) before from r), e as (select img_id, first, coalesce(min(before) filter (where a - before > 10 and before - first >= 35), max(b)) last from q group by all), "
+    "i as (select img_id, max(ink) most from c group by all), f as (select m.img_id, w, h, most < 2 or first is null as whole, first, least(last, first + least(w, 88) - 1) last from m join i using (img_id) left join e using (img_id)), "
+    "x as (select img_id, h, whole, case when whole then 0 else greatest(0, first - 4) end x0, case when whole then w else least(w, last + 5) end x1 from f), "
+    "y as (select img_id, h, x0, x1, min(g.y) filter (where v < 205 and not whole) lo, max(g.y) filter (where v < 205 and not whole) hi from x join g using (img_id) where g.x >= x0 and g.x < x1 group by all), "
+    "z as (select img_id, x0, x1, coalesce(greatest(0, lo - 4), 0) y0, coalesce(least(h, hi + 5), h) y1 from y) select img_id, x0, y0, x1, y1, sum(v) total from z join g using (img_id) where g.x >= x0 and g.x < x1 and g.y >= y0 and g.y < y1 group by all",
     "first_existing": "select c_nationkey grp, arg_min(c_name, c_custkey) filter (where c_acctbal < 0) path from customer group by all",
     "job_previews": LINES + " select job_id, cast(i as int) i, lpad(cast(i as varchar), 3, '0') || '.png' file from lines",
     "glyph_lookup": "with c as (select p_partkey, unnest(range(1, length(p_name) + 1)) u, p_name from part) select p_partkey, cast(u - 1 as int) pos, substring(p_name, u, 1) ch, n_nationkey glyph from c left join nation on chr(cast(97 + n_nationkey % 26 as int)) = substring(p_name, u, 1)",
@@ -279,5 +301,5 @@ SQL["stamp_layout"] = (
 SQL["line_scores"] = with_duck("metrics") + " select id, pk, sk, n_ink / n_pixels::double * greatest(ink_w, 1) score from metrics"
 SQL["failure_list"] = (
     with_duck("metrics") + ", v as (select pk % 100 job, case when n_ink / n_pixels::double < 0.008 then 'near_empty' when n_ink = 0 then 'no_ink' when ink_w < greatest(24, 3.5 * least(nchar, 8)) then 'too_narrow' "
-    "when w >= 700 and n_ink / n_pixels::double < 0.035 then 'sparse_wide' else 'ok' end r from metrics) select job, string_agg(r, ',' order by r) failures from v where r <> 'ok' group by all"
+    "when w >= 700 and n_ink / n_pixels::double < 0.035 then 'sparse_wide' else 'ok' end r from metrics) select job, string_agg(r || ' x ' || n, ',' order by r) failures from (select job, r, count(*) n from v where r <> 'ok' group by all) c group by all"
 )
