@@ -1,8 +1,9 @@
 """Text spans out of simple PDF files, and images stamped into them (pure Python, uncompressed or Flate streams).
 
-Content streams are read for text operators (Tf Td TD Tm T* Tj TJ ' " Tc Tw TL) and colours (rg g k); glyph widths come
-from the font's Widths, else half an em. Files are rewritten by an incremental update. Encryption, object streams and
-composite fonts with own encodings are not read.
+Content streams are read for text operators (Tf Td TD Tm T* Tj TJ ' " Tc Tw TL) and colours (rg g k). Objects may lie in
+object streams; fonts may be simple or composite (two-byte codes), their texts come from ToUnicode where there is one, and
+glyph widths from Widths or W, else half an em or DW. Files are rewritten by an incremental update. Encryption and
+predefined encodings of composite fonts without ToUnicode are not read.
 """
 
 from __future__ import annotations
@@ -23,17 +24,89 @@ SPAN_SCHEMA = "pair_id long, page int, ord long, text string, x0 double, y0 doub
 
 
 def objects(pdf: bytes) -> dict[int, bytes]:
-    """The latest body of each object number."""
-    return {int(m[1]): m[2] for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", pdf, re.S)}
+    """The latest body of each object number; those in object streams count from where their stream lies."""
+    out: dict[int, bytes] = {}
+    for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", pdf, re.S):
+        out[int(m[1])] = m[2]
+        if re.search(rb"/Type\s*/ObjStm", m[2].partition(b"stream")[0]):
+            data, first = stream_of(m[2]), int(after(m[2], rb"/First") or 0)
+            head = [int(x) for x in data[:first].split()]
+            ends = [first + x for x in head[3::2]] + [len(data)]
+            for number, start, end in zip(head[::2], head[1::2], ends):
+                out[number] = data[first + start : end]
+    return out
 
 
 def stream_of(body: bytes) -> bytes:
-    m = re.search(rb"stream\r?\n(.*?)\r?\nendstream", body, re.S)
+    m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
     if not m:
         return b""
     return zlib.decompressobj().decompress(m[1]) if b"/FlateDecode" in body[: m.start()] else m[1]
 
 
+class Font:
+    """How a font's codes read and how wide they are, in parts of the font size."""
+
+    def __init__(self, objs: dict[int, bytes], body: bytes):
+        self.size, self.text, self.width, self.usual = 1, {}, {}, 0.5
+        for r in refs(after(body, rb"/ToUnicode")):
+            self.text = unicode_of(stream_of(objs.get(r, b"")))
+        if re.search(rb"/Subtype\s*/Type0", body):
+            below = next((objs[r] for r in refs(after(body, rb"/DescendantFonts")) if r in objs), b"")
+            self.size, self.usual = 2, float(after(below, rb"/DW") or 1000) / 1000
+            self.width = composite_widths(below, objs)
+        else:
+            first = int(after(body, rb"/FirstChar") or 0)
+            found = after(body, rb"/Widths")
+            found = next((objs.get(r, b"") for r in refs(found)), found)
+            self.width = {first + i: float(x) / 1000 for i, x in enumerate(re.findall(rb"[\d.]+", found))}
+
+    def codes(self, raw: bytes):
+        """(text, width, is a space) of each code."""
+        for i in range(0, len(raw) - self.size + 1, self.size):
+            code = int.from_bytes(raw[i : i + self.size], "big")
+            plain = raw[i : i + 1].decode("cp1252", "replace") if self.size == 1 else "\ufffd"
+            yield self.text.get(code, plain), self.width.get(code, self.usual), self.size == 1 and code == 32
+
+
+def unicode_of(cmap: bytes) -> dict[int, str]:
+    """Texts by code of a ToUnicode map."""
+    word = lambda h: bytes.fromhex(re.sub(rb"\s", b"", h).decode()).decode("utf-16-be", "replace")
+    out = {}
+    for part in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        out |= {int(c, 16): word(t) for c, t in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f\s]*)>", part)}
+    for part in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for low, high, to, each in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f\s]+)>|\[([^\]]*)\])", part):
+            codes = range(int(low, 16), int(high, 16) + 1)
+            if each:
+                out |= dict(zip(codes, map(word, re.findall(rb"<([0-9A-Fa-f\s]*)>", each))))
+            else:
+                text = word(to)
+                out |= {c: text[:-1] + chr(ord(text[-1]) + i) for i, c in enumerate(codes) if text}
+    return out
+
+
+def composite_widths(body: bytes, objs: dict[int, bytes]) -> dict[int, float]:
+    """Widths by code of a W array: `first [w ...]` and `first last w` in turn."""
+    m = re.search(rb"/W\s*(\[|\d+\s+\d+\s+R)", body)
+    if not m:
+        return {}
+    text = body[m.end() :] if m[1] == b"[" else objs.get(refs(m[1])[0], b"").partition(b"[")[2]
+    out, plain = {}, []
+    for t in re.finditer(rb"\[([^\]]*)\]|[\d.]+|\]", text):
+        if t[0] == b"]":
+            break
+        if t[1] is not None:
+            out |= {int(plain[-1]) + i: float(w) / 1000 for i, w in enumerate(t[1].split())}
+            plain = []
+            continue
+        plain.append(float(t[0]))
+        if len(plain) == 3:
+            out |= dict.fromkeys(range(int(plain[0]), int(plain[1]) + 1), plain[2] / 1000)
+            plain = []
+    return out
+
+
 def refs(text: bytes) -> list[int]:
     return [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", text)]
 
@@ -125,10 +198,10 @@ def spans(pdf: bytes) -> list[tuple]:
         for name, ref in re.findall(rb"/([A-Za-z0-9_.+-]+)\s+(\d+)\s+0\s+R", res):
             body = objs.get(int(ref), b"")
             if b"/Font" in body:
-                widths = [float(x) for x in re.findall(rb"[\d.]+", after(body, rb"/Widths"))]
-                fonts["/" + name.decode()] = (int(after(body, rb"/FirstChar") or 0), widths)
+                fonts["/" + name.decode()] = Font(objs, body)
         data = b"\n".join(stream_of(objs.get(r, b"")) for r in refs(after(objs[n], rb"/Contents")))
-        font, size, lead, tc, tw, color = (0, []), 1.0, 0.0, 0.0, 0.0, 0
+        plain = Font(objs, b"")
+        font, size, lead, tc, tw, color = plain, 1.0, 0.0, 0.0, 0.0, 0
         tm = line = np.eye(3)
         ctm, saved, order = np.eye(3), [], 0
 
@@ -139,11 +212,9 @@ def spans(pdf: bytes) -> list[tuple]:
                 if isinstance(s, float):
                     x -= s / 1000 * size
                     continue
-                for b in s:
-                    first, widths = font
-                    w = widths[b - first] / 1000 if 0 <= b - first < len(widths) else 0.5
-                    x += w * size + tc + (tw if b == 32 else 0)
-                text += s.decode("cp1252", "replace")
+                for part, wide, space in font.codes(s):
+                    x += wide * size + tc + (tw if space else 0)
+                    text += part
             a = np.array([0, -0.2 * size, 1]) @ tm @ ctm
             z = np.array([x, 0.8 * size, 1]) @ tm @ ctm
             if text.strip():
@@ -167,7 +238,7 @@ def spans(pdf: bytes) -> list[tuple]:
             elif op == "BT":
                 tm = line = np.eye(3)
             elif op == "Tf":
-                font, size = fonts.get(v[0], (0, [])), v[1]
+                font, size = fonts.get(v[0], plain), v[1]
             elif op in ("Tc", "Tw", "TL"):
                 tc, tw, lead = (v[0] if op == "Tc" else tc), (v[0] if op == "Tw" else tw), (v[0] if op == "TL" else lead)
             elif op in ("Td", "TD"):

@@ -62,3 +62,37 @@ def draw_overlay(h: int, w: int, rects: pd.DataFrame, line: int = 2) -> bytes:
 
 def write_stats(stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").json(path)
+
+
+def write_files(files: DataFrame, root: str, path: str = "path", content: str = "content") -> DataFrame:
+    """Write each row's content to its path below root and return (path, bytes) of what was written.
+
+    root is a folder that all executors reach (a mount, or an address that Arrow opens). A file appears whole or not at
+    all, and a task that runs again writes the same file again. Paths that leave the root, and null contents, fail.
+    """
+
+    def run(frames):
+        import uuid
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        for f in frames:
+            for p, c in zip(f[path], f[content]):
+                if c is None or p.startswith("/") or ".." in p.split("/"):
+                    raise ValueError(f"can't write {p}")
+                target = f"{base}/{p}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(bytes(c))
+                store.move(part, target)
+            yield pd.DataFrame({"path": f[path], "bytes": [len(c) for c in f[content]]})
+
+    return files.select(path, content).mapInPandas(run, "path string, bytes long")
+
+
+def preview_files(lines: DataFrame, folder: str = "job_id", order: str = "i", image: str = "image") -> DataFrame:
+    """(path, content) of the line previews of each job: numbered PNGs in the job's folder."""
+    named = preview_names(lines, order)
+    return named.select(F.concat(F.lit("jobs/"), F.col(folder).cast("string"), F.lit("/"), "file").alias("path"), F.col(image).alias("content"))

@@ -48,10 +48,17 @@ def tables_of(document: DataFrame) -> dict[str, DataFrame]:
 
 
 def load_state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of the document at path; the default state if there is none."""
+    """The tables of the document at path, or of the logs that save_state wrote there; the default state if there is nothing."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-    return tables_of(spark.read.schema(DOCUMENT).option("multiLine", True).json(path) if there else default_document(spark))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return tables_of(default_document(spark))
+    if not fs.getFileStatus(p).isDirectory():
+        return tables_of(spark.read.schema(DOCUMENT).option("multiLine", True).json(path))
+    logs = {name: spark.read.parquet(f"{path}/{name}") for name in (*TABLES, "settings")}
+    out = {name: state.latest(logs[name], "id", "written_at").drop("written_at").select(*[c for c in logs[name].columns if c != "written_at"]) for name in TABLES}
+    last = logs["settings"].agg(F.max(F.struct("written_at", "active_style_id")).alias("s"))
+    return out | {"settings": last.select("s.active_style_id")}
 
 
 def snapshot(tables: dict[str, DataFrame]) -> DataFrame:
@@ -67,7 +74,7 @@ def snapshot(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def save_state(tables: dict[str, DataFrame], path: str) -> None:
-    """Append each table to its log under path, with the time of writing."""
+    """Append each table to its log under path, with the time of writing; load_state reads the last rows of each id back."""
     for name, df in tables.items():
         df.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/{name}")
 
@@ -97,6 +104,17 @@ def add_styles(uploads: DataFrame) -> DataFrame:
     )
 
 
+def pair_files(uploads: DataFrame) -> DataFrame:
+    """(path, content) of the files of registered pairs, for sinks.write_files."""
+    pid = state.content_id(F.concat("template", "synthetic"))
+    each = F.explode(F.array(F.struct(F.lit("template").alias("side"), F.col("template").alias("content")), F.struct(F.lit("synthetic").alias("side"), F.col("synthetic").alias("content"))))
+    return uploads.select(pid.alias("id"), each.alias("f")).select(F.concat_ws("/", F.lit("pairs"), "id", F.concat("f.side", F.lit(".pdf"))).alias("path"), F.col("f.content").alias("content"))
+
+
+def style_files(uploads: DataFrame) -> DataFrame:
+    return uploads.select(F.concat_ws("/", F.lit("styles"), state.content_id(F.col("content")), "name").alias("path"), "content")
+
+
 PREPARED = T.StructType([T.StructField("prepared", T.BinaryType()), T.StructField("error", T.StringType())])
 
 

@@ -40,6 +40,28 @@ def test_pdf_spans_and_stamp(tmp_path, spark):
     assert pairs.list_files(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_pdf_object_streams_and_composite_fonts():
+    """Pages and fonts in an object stream, two-byte codes with ToUnicode ranges, widths of both kinds; later objects win."""
+    import zlib
+
+    cmap = b"1 beginbfchar <0003> <0020> endbfchar 2 beginbfrange <0010> <0012> <0041> <0020> <0021> [<00E9> <00660069>] endbfrange"
+    text = b"BT 0 0 1 rg /F0 10 Tf 1 0 0 1 40 700 Tm <00100011000300200021> Tj ET"
+    inner = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Count 1/Kids[3 0 R]>>", 3: b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 612 792]/Contents 9 0 R/Resources<</Font<</F0 4 0 R>>>>>>",
+             4: b"<</Type/Font/Subtype/Type0/Encoding/Identity-H/DescendantFonts[5 0 R]/ToUnicode 8 0 R>>", 5: b"<</Type/Font/Subtype/CIDFontType2/DW 500/W[16 [600 700] 32 33 800]>>"}
+    body, head = b"", []
+    for n, b in inner.items():
+        head.append(b"%d %d" % (n, len(body)))
+        body += b + b" "
+    first = b" ".join(head) + b" "
+    pack = lambda raw, extra=b"": b"<<%s/Filter/FlateDecode/Length 1>>\nstream\n%s\nendstream" % (extra, zlib.compress(raw))
+    objs = {9: pack(text), 8: pack(cmap), 7: pack(first + body, b"/Type/ObjStm/N 5/First %d" % len(first))}
+    doc = b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objs.items())
+    ((page, order, shown, x0, y0, x1, y1, color),) = pdf.spans(doc)
+    assert (page, order, shown, color) == (0, 0, "AB éfi", 255) and abs(x0 - 40) < 1e-6 and abs(x1 - (40 + 10 * (0.6 + 0.7 + 0.5 + 0.8 + 0.8))) < 1e-6
+    later = doc + b"9 0 obj\n%s\nendobj\n" % pack(text.replace(b"<00100011000300200021>", b"<0012>"))
+    assert [s[2] for s in pdf.spans(later)] == ["C"] and pdf.page_rects(doc) == [(0.0, 0.0, 612.0, 792.0)]
+
+
 def test_detect_from_files(spark, tmp_path):
     blue = (37 / 255, 99 / 255, 235 / 255)
     filled = pdf.write_simple([[(40, 100, 10, "Name", (0, 0, 0)), (160, 100, 10, "Ada", blue), (40, 140, 10, "Name", (0, 0, 0)), (160, 140, 10, "Bob", blue)]])
@@ -107,3 +129,20 @@ def test_status_stream(spark, tmp_path):
     q = job_status_stream(stream).writeStream.outputMode("complete").format("memory").queryName("job_status").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.job_id, r.status) for r in spark.table("job_status").collect()} == {(1, "done"), (2, "queued")}
+
+
+def test_written_files(spark, tmp_path):
+    from quillframe.sources import state_store
+
+    image = png.encode(np.zeros((3, 4), np.uint8))
+    lines = spark.createDataFrame([(7, 0, image), (7, 11, image)], "job_id long, i int, image binary")
+    got = sinks.write_files(sinks.preview_files(lines), str(tmp_path)).collect()
+    assert {r.path for r in got} == {"jobs/7/000.png", "jobs/7/011.png"} and (tmp_path / "jobs/7/011.png").read_bytes() == image
+    pair = spark.createDataFrame([("a", b"t", b"s")], "name string, template binary, synthetic binary")
+    row = state_store.register_pairs(pair).first()
+    assert {r.path for r in sinks.write_files(state_store.pair_files(pair), f"file://{tmp_path}").collect()} == {row.template_path, row.synthetic_path}
+    assert (tmp_path / row.synthetic_path).read_bytes() == b"s" and not list(tmp_path.rglob("*.part"))
+    styles = spark.createDataFrame([("n.png", image, "t")], "name string, content binary, style_text string")
+    assert sinks.write_files(state_store.style_files(styles), str(tmp_path)).first().path == state_store.add_styles(styles).first().path
+    with pytest.raises(Exception, match="can't write"):
+        sinks.write_files(spark.createDataFrame([("../x", b"1")], "path string, content binary"), str(tmp_path)).collect()
