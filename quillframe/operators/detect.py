@@ -34,6 +34,12 @@ def blue_spans(spans: DataFrame) -> DataFrame:
     return spans.where(is_blue(F.col("color")) & (F.trim("text") != ""))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns that are worked out once a row: filters on them stay above, instead of repeating them below."""
+    packed = F.explode_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))
+    return df.select("*", packed.alias("__once")).select(*df.columns, *[F.col(f"__once.{k}").alias(k) for k in columns])
+
+
 def shown(c="text") -> Column:
     return F.trim(c) != ""
 
@@ -72,17 +78,16 @@ def merged(pages: DataFrame, spans: str = "spans") -> DataFrame:
         )
 
     keep = [c for c in pages.columns if c != spans]
-    folded = pages.withColumn("fold", F.aggregate(spans, start, place))
+    folded = once(pages, fold=F.aggregate(spans, start, place))
     each = folded.select("*", F.arrays_zip(F.col(spans).alias("s"), F.col("fold.grp").alias("g")).alias("zipped"))
     own = F.filter("zipped", lambda z: z["g"] == F.col("grp") + 1)
-    groups = each.select("*", F.posexplode("fold.last").alias("grp", "__last")).select(*keep, "grp", F.transform(own, lambda z: z["s"]).alias("members"))
+    groups = each.select("*", F.posexplode_outer("fold.last").alias("grp", "__last")).where("grp is not null")
+    groups = once(groups.select(*keep, "grp", "zipped"), members=F.transform(own, lambda z: z["s"])).drop("zipped")
     ordered = F.array_sort(F.transform("members", lambda m: F.struct(m["y0"], m["x0"], m["ord"], m["text"])))
     text = sanitize_form(F.array_join(F.transform(ordered, lambda m: m["text"]), " "))
     end = lambda f, k: f(F.transform("members", lambda m: m[k]))
-    return groups.select(
-        *keep, "grp", (end(F.array_min, "x0") - 1).alias("x0"), (end(F.array_min, "y0") - 1).alias("y0"),
-        (end(F.array_max, "x1") + 1).alias("x1"), (end(F.array_max, "y1") + 1).alias("y1"), text.alias("text"),
-    ).where("text <> ''")
+    box = {k: end(F.array_min, k) - 1 for k in ("x0", "y0")} | {k: end(F.array_max, k) + 1 for k in ("x1", "y1")}
+    return once(groups, **box, text=text).drop("members").where("text <> ''")
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def anchored(fills: DataFrame, labels: str = "labels") -> DataFrame:
         labels, lambda s: s["shown"] & (F.abs(s["y0"] - F.col("y0")) <= ANCHOR_Y) & (s["x1"] < F.col("x0") - ANCHOR_X)
     )
     item = lambda s: F.struct(s["x1"], (-s["ord"]).alias("rank"), s["text"], s["label"], s["x0"], s["y0"], s["y1"])
-    return fills.withColumn("anchor", F.array_max(F.transform(near, item)))
+    return once(fills, anchor=F.array_max(F.transform(near, item)))
 
 
 def left_anchor(fills: DataFrame, spans: DataFrame, key: str = "grp") -> DataFrame:
@@ -127,7 +132,8 @@ def label_instances(spans: DataFrame, near_black_first: bool) -> DataFrame:
     """(pair_id, page, label, i, x0, y0, x1, y1): the occurrences of each label of a page."""
     labels = spans.where(~is_blue(F.col("color"))).select(*PAGE, label_item().alias("s")).where("s.label <> ''")
     every = labels.groupBy(*PAGE, F.col("s.label").alias("label")).agg(F.collect_list("s").alias("same"))
-    return every.select(*PAGE, "label", F.posexplode(occurrences(F.col("same"), near_black_first)).alias("i", "s")).select(*PAGE, "label", "i", *[F.col(f"s.{k}").alias(k) for k in RECT])
+    found = once(every, found=occurrences(F.col("same"), near_black_first))
+    return found.select(*PAGE, "label", F.posexplode_outer("found").alias("i", "s")).select(*PAGE, "label", "i", *[F.col(f"s.{k}").alias(k) for k in RECT])
 
 
 def keep_apart(kept: Column, s: Column) -> Column:
@@ -153,7 +159,7 @@ def instance_index(anchors: DataFrame, instances: DataFrame, key: str = "grp") -
     a = anchors.withColumn("label", norm("a_text")).where("label <> ''").select(*PAGE, key, "label", "a_x0", "a_y0")
     found = instances.groupBy(*PAGE, "label").agg(F.array_sort(F.collect_list(F.struct("i", "x0", "y0"))).alias("found"))
     m = nearest(F.col("found"), F.col("a_x0"), F.col("a_y0"))
-    return a.join(found, [*PAGE, "label"]).withColumn("m", m).select(*PAGE, key, "label", F.col("m.i").alias("i"), F.col("m.x0").alias("s_x0"), F.col("m.y0").alias("s_y0"))
+    return once(a.join(found, [*PAGE, "label"]), m=m).select(*PAGE, key, "label", F.col("m.i").alias("i"), F.col("m.x0").alias("s_x0"), F.col("m.y0").alias("s_y0"))
 
 
 def placed(fills: DataFrame, tmpl: DataFrame, pages: DataFrame) -> DataFrame:
@@ -165,18 +171,19 @@ def placed(fills: DataFrame, tmpl: DataFrame, pages: DataFrame) -> DataFrame:
     there = pages.select(*PAGE, F.col("x0").alias("p_x0"), F.col("x1").alias("p_x1")).join(label_pages(tmpl).withColumnRenamed("labels", "t_labels"), PAGE, "left")
     found = anchored(fills.join(there, PAGE)).withColumn("label", F.col("anchor.label"))
     same = lambda c: F.filter(c, lambda s: s["label"] == F.col("label"))
-    found = found.withColumn("at", F.when(F.col("label") != "", nearest(occurrences(same("labels"), False), F.col("anchor.x0"), F.col("anchor.y0"))))
-    there = F.coalesce("t_labels", F.array().cast(found.schema["t_labels"].dataType))
-    found = found.withColumn("to", F.when(F.col("label") != "", F.get(occurrences(F.filter(there, lambda s: s["label"] == F.col("label")), True), F.col("at.i"))))
+    found = once(found, mine=occurrences(same("labels"), False))
+    found = once(found, at=F.when(F.col("label") != "", nearest(F.col("mine"), F.col("anchor.x0"), F.col("anchor.y0"))))
+    found = once(found, theirs=same(F.coalesce("t_labels", F.array().cast(found.schema["t_labels"].dataType))))
+    found = once(found, to=F.when(F.col("label") != "", F.get(occurrences(F.col("theirs"), True), F.col("at.i"))))
     dx, dy = F.col("to.x0") - F.col("at.x0"), F.col("to.y0") - F.col("at.y0")
     moved = {"x0": F.col("x0") + dx, "y0": F.col("y0") + dy, "x1": F.col("x1") + dx, "y1": F.col("y1") + dy}
     field = field_rect(moved, F.col("to.y1") - F.col("to.y0"), F.col("p_x0"), F.col("p_x1"))
     box = F.when(F.col("to").isNotNull(), F.struct(*[v.alias(k) for k, v in field.items()]))
-    return found.drop("labels", "t_labels", "anchor").withColumn("field", box)
+    return found.drop("labels", "t_labels", "anchor", "mine", "theirs").withColumn("field", box)
 
 
 def fields_of(placed_fills: DataFrame, key: str = "grp") -> DataFrame:
-    return placed_fills.where("field is not null").select(*PAGE, key, "text", *[F.col(f"field.{k}").alias(k) for k in RECT])
+    return placed_fills.where("to is not null").select(*PAGE, key, "text", *[F.col(f"field.{k}").alias(k) for k in RECT])
 
 
 def map_to_template(fills: DataFrame, synth: DataFrame, tmpl: DataFrame, pages: DataFrame, key: str = "grp") -> DataFrame:
@@ -191,13 +198,13 @@ def emit_cells(fields: DataFrame, order: str = "grp") -> DataFrame:
     """
     height = F.col("y1") - F.col("y0")
     usable = fields.where((F.col("text") != "") & (F.col("x1") - F.col("x0") >= 2) & (height >= 2) & (F.length("text") <= HARD_LIMIT))
-    split = usable.withColumn("chunks", split_chunks("text")).withColumn("n", F.size("chunks"))
+    split = once(usable, chunks=split_chunks("text")).withColumn("n", F.size("chunks"))
     stacks = (F.col("n") > 1) & (height >= F.col("n") * 10.0 + (F.col("n") - 1) * LINE_GAP)
     whole = F.when(F.length("text") <= SOFT_LIMIT, F.col("text")).otherwise(F.rtrim(F.substring("text", 1, SOFT_LIMIT)))
-    parts = split.withColumn("parts", F.when(stacks, F.col("chunks")).otherwise(F.array(whole))).withColumn("n", F.size("parts"))
+    parts = once(split, parts=F.when(stacks, F.col("chunks")).otherwise(F.array(whole))).withColumn("n", F.size("parts"))
     line = (height - (F.col("n") - 1) * LINE_GAP) / F.col("n")
     top = F.when(F.col("n") == 1, F.col("y0")).otherwise(F.col("y0") + F.col("part") * (line + LINE_GAP))
-    return parts.select("*", F.posexplode("parts").alias("part", "piece")).select(
+    return parts.select("*", F.posexplode_outer("parts").alias("part", "piece")).select(
         *PAGE, order, "part", "x0", top.alias("y0"), "x1", F.when(F.col("n") == 1, F.col("y1")).otherwise(top + line).alias("y1"), F.col("piece").alias("text")
     )
 
@@ -230,7 +237,7 @@ def detect_cells(synth: DataFrame, tmpl: DataFrame, pages: DataFrame) -> DataFra
 
 def diff_stats(synth: DataFrame, tmpl: DataFrame, pages: DataFrame) -> DataFrame:
     """(pair_id, page, merged, kept, skipped_no_anchor, skipped_overflow) of each shared page."""
-    has_label, has_field = F.coalesce(F.col("label") != "", F.lit(False)), F.col("field").isNotNull()
+    has_label, has_field = F.coalesce(F.col("label") != "", F.lit(False)), F.col("to").isNotNull()
     stats = placed_fills(synth, tmpl, pages).groupBy(*PAGE).agg(
         F.count(F.lit(1)).alias("merged"), F.count_if(has_field).alias("kept"), F.count_if(~has_label).alias("skipped_no_anchor"),
         F.count_if(has_label & ~has_field).alias("skipped_overflow"),
