@@ -1,4 +1,4 @@
-"""What every query needs of a session: the package on the Python workers' path."""
+"""What every query needs of a session: the package on the Python workers' path, and batches of bounded size."""
 
 from __future__ import annotations
 
@@ -11,8 +11,14 @@ from pyspark.sql import SparkSession
 PACKAGE = Path(__file__).resolve().parent
 
 
+#: Bytes of a batch of rows that goes to a Python worker, so that long texts don't make large batches.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once for a context."""
+    """Send this package to the executors, once for a context, and bound batches by their bytes unless the session does."""
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
     sc = spark.sparkContext
     if not getattr(sc, "_quillframe_sent", False):
         folder = Path(tempfile.mkdtemp(prefix="quillframe-package-"))
