@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, exact dedup, near-dedup, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept; all but the last
-return the columns of documents.
+return the columns of documents, and others that docs may have. Null texts count as empty, rows with null ids are documents,
+rows that repeat an id are judged each by its own text, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,31 +19,33 @@ from quillframe.session import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those rejected (no letters, narrow margins) go."""
+    """Documents whose language is recognised; those rejected go: null and empty texts, those without letters or with fewer than four
+    bytes of them, and those whose two smallest sizes are equal or nearly so, whole and word by word."""
     ship(spark)
     return keep_identified(docs, fit(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal but for white space: the longest, then that of the smallest id (null
+    last), then the earliest row."""
     ship(spark)
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard similarity of 0.8 or more)."""
+    """One document of each group of near copies (five-word Jaccard similarity of 0.8 or more): that of the smallest id (null last)."""
     ship(spark)
     return drop_near_copies(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked."""
+    """Documents with personal data masked; all stay, null texts as they are."""
     ship(spark)
     return mask_pii(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in the packed sequences."""
+    """Pieces of documents with their place in the packed sequences; an empty text is one piece."""
     ship(spark)
     return pack_documents(docs)
 
