@@ -1,13 +1,19 @@
-"""Near copies: all texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies: SimHash groups completed to all texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from prefixes, which lose no pair: of two sets that similar, ordered alike, the first n - ceil(0.8 n) + 1
-shingles of each have one in common. Shingles found often in a sample of texts are ordered last, so that common lines
-seldom are in a prefix; the order has no part in the result. Candidates are verified on the whole sets. Pairs within a
-group are not all drawn: links to the centres of groups come first, and then only pairs between components.
+1. The fingerprints of operator 9 (here over the distinct five-word shingles) are linked by their Golay keys, and each
+   link is verified on the whole sets. That finds the closest copies: a bit differs with a probability of
+   acos(2 J / (1 + J)) / pi, which is 0.15 at a similarity J of 0.8, some ten bits of 64, beyond any radius of few keys.
+2. Prefixes find the rest without losing a pair: of two sets that similar, ordered alike, the first n - ceil(0.8 n) + 1
+   shingles of each have one in common. Shingles found often in a sample of texts are ordered last, so that common lines
+   seldom are in a prefix; the order has no part in the result. Candidates are verified on the whole sets.
+
+Pairs within a group are not all drawn: links to the centres of groups come first, and then only pairs between components.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, remove, sliced, small, workspace
+from .simhash import links as fingerprint_links
 
-WORDS = 5
+WORDS, SIMILARITY = 5, 0.8
 #: Texts and shingles of the sample that orders the shingles: bounds of its cost, with no part in the result.
 SAMPLE, OFTEN, HEAVY = 8_000, 4, 200_000
 #: Rounds of links to centres, and pairs a prefix row that end them sooner.
 STARS, FEW = 6, 4
 PAIR = "a long, b long"
+#: Marks the row of a text that holds its fingerprint.
+FINGERPRINT = -1
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -39,23 +48,30 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(31)))
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 5 * both >= 4 * (len(x) + len(y) - both)
+def fingerprint(sh: np.ndarray) -> int:
+    """64-bit SimHash of a set of hashes, as a signed number."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(sh), 65536):
+        votes += np.unpackbits(sh[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(sh), bitorder="little").view("<i8")[0])
+
+
+def exact(similarity: float) -> Fraction:
+    return Fraction(similarity).limit_denominator(1000)
 
 
 def noded(docs: DataFrame) -> DataFrame:
-    """(node, text): equal texts are one node."""
-    text = F.col("text").cast("string")
-    return docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    """(doc_id, node, text): equal texts are one node."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("node"), text.alias("text"))
 
 
-def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample have, sorted, and in how many."""
 
     def run(batches):
         for b in sliced(batches):
-            out = [shingles(t) for t in b.column(1).to_pylist()]
+            out = [shingles(t, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64))], ["sh"])
 
     share = max(1, texts.count() // SAMPLE)
@@ -66,32 +82,36 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return sh[order], n[order]
 
 
-def prefixes(texts: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(sh, node, at): the first shingles of each text; at holds its number of shingles and the place, 32 bits each."""
-    heavy, count = often
+def prefixes(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int, least: Fraction) -> DataFrame:
+    """(sh, node, at): the fingerprint of each text (at is FINGERPRINT), and its first shingles; at then holds the text's number
+    of shingles and the place, 32 bits each."""
+    held = texts.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
+        heavy, count = held.value
         for b in sliced(batches):
             out = [(np.zeros(0, np.int64),) * 3]
             for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sh = shingles(t)
+                sh = shingles(t, words)
                 n = len(sh)
+                out.append((np.array([fingerprint(sh)]), np.array([node]), np.array([FINGERPRINT])))
                 if len(heavy):
                     i = np.minimum(np.searchsorted(heavy, sh), len(heavy) - 1)
                     sh = sh[np.lexsort((sh, np.where(heavy[i] == sh, count[i], 0)))]
-                p = n - -(-4 * n // 5) + 1
+                p = n - -(-least.numerator * n // least.denominator) + 1
                 out.append((sh[:p].view(np.int64), np.full(p, node, np.int64), n << 32 | np.arange(p)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["sh", "node", "at"])
 
     return texts.mapInArrow(run, "sh long, node long, at long")
 
 
-def possible(x: str, y: str) -> F.Column:
+def possible(x: str, y: str, least: Fraction) -> F.Column:
     """By their sizes and the places of a first common shingle, two sets may be similar."""
     size = lambda c: F.shiftright(F.col(c), 32)
     rest = lambda c: size(c) - F.col(c).bitwiseAND(0xFFFFFFFF)
-    n = size(x) + size(y)
-    return (5 * F.least(size(x), size(y)) >= 4 * F.greatest(size(x), size(y))) & (9 * F.least(rest(x), rest(y)) >= 4 * n)
+    p, q = least.numerator, least.denominator
+    sizes = q * F.least(size(x), size(y)) >= p * F.greatest(size(x), size(y))
+    return sizes & ((p + q) * F.least(rest(x), rest(y)) >= p * (size(x) + size(y)))
 
 
 def counts(sh: np.ndarray) -> np.ndarray:
@@ -102,56 +122,68 @@ def counts(sh: np.ndarray) -> np.ndarray:
     return n.astype(np.uint8)
 
 
-def may_be_similar(x: np.ndarray, y: np.ndarray) -> bool:
+def may_be_similar(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
     x, y = x.astype(np.int64), y.astype(np.int64)
     bins = min(len(x), len(y))
     both = np.minimum(x.reshape(-1, bins).sum(0), y.reshape(-1, bins).sum(0)).sum()
-    return bool(5 * both >= 4 * (x.sum() + y.sum() - both))
+    return bool(least.denominator * both >= least.numerator * (x.sum() + y.sum() - both))
 
 
-def compared(pairs: DataFrame, texts: DataFrame, make, kind: type, holds) -> DataFrame:
-    """The pairs (a, b) for whose texts' shingles, as make gives them, holds is true."""
+def beside(pairs: DataFrame, texts: DataFrame, make, kind: pa.DataType, sql: str, words: int) -> DataFrame:
+    """The pairs (a, b) with x and y: what make gives of their texts' shingles."""
 
     def made(batches):
         for b in sliced(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([make(shingles(t)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "sh"])
-
-    def check(batches):
-        for b in sliced(batches):
-            x, y = ([np.frombuffer(s, kind) for s in c.to_pylist()] for c in b.columns[2:])
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array([holds(*p) for p in zip(x, y)], pa.bool_()))
+            out = [make(shingles(t, words)) for t in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            values = pa.array(np.concatenate(out) if out else np.zeros(0), kind)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["node", "sh"])
 
     wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    found = cut(texts.join(small(wanted), "node", "left_semi").mapInArrow(made, "node long, sh binary").dropDuplicates(["node"]))
+    found = cut(texts.join(small(wanted), "node", "left_semi").mapInArrow(made, f"node long, sh array<{sql}>").dropDuplicates(["node"]))
     a, b = found.select(F.col("node").alias("a"), F.col("sh").alias("x")), found.select(F.col("node").alias("b"), F.col("sh").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(check, PAIR)
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
     """The pairs (a, b) of similar texts; whole sets move only for those that counts by bins leave."""
-    left = cut(compared(pairs, texts, counts, np.uint8, may_be_similar))
-    return compared(left, texts, lambda sh: sh, np.uint64, similar)
 
+    def check(batches):
+        for b in sliced(batches, 2048):
+            x, y = ([np.array(s) for s in c.to_pylist()] for c in b.columns[2:])
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array([may_be_similar(*p, least) for p in zip(x, y)], pa.bool_()))
+
+    left = cut(beside(pairs, texts, lambda sh: counts(sh).astype(np.int16), pa.int16(), "smallint", words).mapInArrow(check, PAIR))
+    both = F.size(F.array_intersect("x", "y"))
+    similar = least.denominator * both >= least.numerator * (F.size("x") + F.size("y") - both)
+    return beside(left, texts, lambda sh: sh.view(np.int64), pa.int64(), "bigint", words).where(similar).select("a", "b")
 
-def near_copies(texts: DataFrame, folder: str) -> DataFrame:
+
+def near_copies(texts: DataFrame, folder: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of the texts that have a near copy: root names the component of links of similar texts.
 
     Tables between rounds go to folder: checkpoints keep the constraints of their plans, which grow from round to round.
     """
-    spark, names = texts.sparkSession, iter(range(1000))
+    spark, names, least = texts.sparkSession, iter(range(1000)), exact(similarity)
 
     def saved(df):
         df.write.parquet(path := f"{folder}/{next(names)}")
         return spark.read.schema(df.schema).parquet(path)
 
-    rows = prefixes(texts, frequent(texts))
+    first = saved(prefixes(texts, frequent(texts, words), words, least))
+    fps = saved(first.where(F.col("at") == FINGERPRINT).select(F.col("sh").alias("fp"), "node").distinct())
+    one = saved(fps.groupBy("fp").agg(F.min("node").alias("one")))
+    equal = fps.join(one, "fp").where(F.col("node") != F.col("one")).select(F.col("one").alias("a"), F.col("node").alias("b"))
+    ends = [one.select(F.col("fp").alias(c), F.col("one").alias(f"of_{c}")) for c in "ab"]
+    near = fingerprint_links(one).join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    tested = saved(equal.union(near))
+    links = saved(verified(tested, texts, words, least))
+    roots, new = saved(components(links)), True
     # Only shingles of several texts matter.
-    whole = "(partition by sh)"
-    rows = rows.select("*", F.expr(f"min(node) over {whole}").alias("lo"), F.expr(f"max(node) over {whole}").alias("hi"))
-    rows = saved(rows.where("lo < hi").select("sh", "node", "at").distinct())
+    rows = first.where(F.col("at") != FINGERPRINT)
+    several = rows.groupBy("sh").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sh")
+    rows = saved(rows.join(several, "sh", "left_semi").distinct())
     total = rows.count()
-    links = tested = spark.createDataFrame([], PAIR).coalesce(1)
-    roots, new = saved(components(links)), True
     for k in range(STARS + 1):
         of = saved(rows.join(roots, "node", "left").select("sh", "node", "at", F.coalesce("root", "node").alias("c")))
         sizes = of.groupBy("sh", "c").agg(F.count("*").alias("n")).groupBy("sh").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
@@ -164,10 +196,10 @@ def near_copies(texts: DataFrame, folder: str) -> DataFrame:
             far = F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "at", "c")).alias("m")
             other = of.groupBy("sh").agg(far).select("sh", F.col("m.node").alias("node_"), F.col("m.at").alias("at_"), F.col("m.c").alias("c_"))
             apart = F.lit(True)
-        pairs = of.join(other, "sh").where((F.col("c") != F.col("c_")) & apart & possible("at", "at_"))
+        pairs = of.join(other, "sh").where((F.col("c") != F.col("c_")) & apart & possible("at", "at_", least))
         pairs = pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
         pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = saved(verified(pairs, texts))
+        found = saved(verified(pairs, texts, words, least))
         new = not found.isEmpty()
         if new:
             links = links.union(found)
@@ -177,12 +209,30 @@ def near_copies(texts: DataFrame, folder: str) -> DataFrame:
             return roots
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; all columns stay."""
-    texts, folder = noded(docs), workspace(docs.sparkSession, "near-copies")
-    ids = cut(docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("node")))
-    named = ids.join(near_copies(texts, folder), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    gone = cut(named.join(least, "root").where(F.col("doc_id") != F.col("least")).select("doc_id").distinct())
-    remove(docs.sparkSession, folder)
-    return docs.join(small(gone), "doc_id", "left_anti")
+def drop_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near copies, with all its columns: that of the smallest doc_id (nulls last).
+
+    A group is a component of links between texts whose distinct shingles (words lower-cased in A-Z) reach the similarity;
+    texts with fewer words are one shingle, null texts count as empty, and texts without words are copies of each other.
+    Where the smallest doc_id has several texts of a group, one of them stays, and one of rows that are repeated; other rows
+    of that doc_id, in other groups, are judged on their own. Extra columns, whatever their names, have no part in it.
+    Texts are told apart by 64-bit hashes. An empty table stays empty.
+    """
+    spark, folder = docs.sparkSession, workspace(docs.sparkSession, "near-copies")
+    texts = noded(docs)
+    keys = cut(texts.select("doc_id", "node").groupBy("doc_id", "node").agg(F.count("*").alias("n")))
+    roots = near_copies(texts.select("node", "text"), folder, words, similarity)
+    named = keys.join(roots, "node", "left").select("doc_id", "node", "n", F.coalesce("root", "node").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")
+    best = named.groupBy("root").agg(F.min(order).alias("best"), F.sum("n").alias("rows")).where("rows > 1").select("root", "best.doc_id", "best.node")
+    best = best.toDF("root", "keep_id", "keep_node")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("node") == F.col("keep_node"))
+    judged = cut(named.join(best, "root").select(F.col("doc_id").alias("__id"), F.col("node").alias("__of"), kept.alias("kept"), "n"))
+    remove(spark, folder)
+    gone, again = judged.where("not kept").select("__id", "__of"), judged.where("kept and n > 1").select("__id", "__of")
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__of"))
+    rest = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(small(gone), on, "left_anti")
+    if (n := again.count()):
+        once = rest.join(small(again, n), on, "left_semi").dropDuplicates(["doc_id", "__node"])
+        rest = rest.join(small(again, n), on, "left_anti").unionByName(once)
+    return rest.drop("__node")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, sliced, small
+from .common import components, cut, sliced
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -110,7 +110,8 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFr
 
     Equal fingerprints are one node whatever the number of copies, so a group of copies costs one row after
     partial aggregation. component_id: smallest doc_id of the component. Null texts count as empty; null ids
-    never become a component id unless a component has no other. Repeated rows stay; extra columns are ignored.
+    never become a component id unless a component has no other. Repeated rows and repeated ids stay, each row with
+    the fingerprint of its own text; extra columns, whatever their names, are ignored; no rows give no rows.
     """
     fps = cut(fingerprints(docs, words))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -122,13 +123,8 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFr
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; all columns stay."""
-    gone = simhash_components(docs, words, bits).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(small(cut(gone)), "doc_id", "left_anti")
-
-
 def op9_simhash_near_dedup(docs: DataFrame) -> DataFrame:
+    """Fingerprints in hexadecimal and components; edge cases as in simhash_components."""
     return simhash_components(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -53,3 +53,24 @@ def test_stage_keeps_one_of_each_group(spark, monkeypatch, few):
     got = corpus_pipeline.near_dedup(spark, documents(spark, texts), "")
     assert set(got.columns) == set(documents(spark).columns)
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(roots))
+
+
+def test_null_and_repeated_ids(spark):
+    """One row of each group stays, whatever its id; rows of one id in different groups are judged on their own."""
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (3, b), (3, b), (9, a + " more"), (None, b + " more"), (None, "alone here"), (5, ""), (None, None), (7, " ")]
+    docs = spark.createDataFrame([(t, i, "x") for i, t in rows], "text string, doc_id long, node string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(3, a), (3, b), (0, "alone here"), (5, "")])
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_most_planted_near_copies_are_found_by_keys_or_prefixes(spark):
+    """Recall on a real table against brute force: every pair that reaches 0.8 ends in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    roots = brute_roots([r.text for r in docs])
+    got = corpus_pipeline.near_dedup(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "")
+    assert len(set(roots)) < len(docs)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(docs[i].doc_id for i in set(roots))

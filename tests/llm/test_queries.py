@@ -28,7 +28,8 @@ def test_sql(spark, name):
 
 
 def test_pipeline(spark, tmp_path):
-    from test_operators import exact_reference, fingerprint
+    from test_near_copies import brute_roots
+    from test_operators import exact_reference
 
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     model = langid.fit(docs)
@@ -37,18 +38,8 @@ def test_pipeline(spark, tmp_path):
     kept = {i: t for i, t in rows.items() if not langid.classify(t, frozen)[2]}
     exact = exact_reference(kept.values(), kept.keys())
     kept = {i: t for i, t in kept.items() if exact[i][0] == i}
-    fps = {i: fingerprint(t) for i, t in kept.items()}
-    root = {i: i for i in kept}
-
-    def find(x):
-        return x if root[x] == x else find(root[x])
-
-    for i in kept:
-        for j in kept:
-            if j < i and (fps[i] ^ fps[j]).bit_count() <= 2:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    kept = {i: t for i, t in kept.items() if find(i) == i}
+    ids = sorted(kept)
+    kept = {ids[r]: kept[ids[r]] for r in brute_roots([kept[i] for i in ids])}
     stage = docs
     for k, (name, f) in enumerate(corpus_pipeline.STAGES):
         f(spark, stage, DIR).write.parquet(str(tmp_path / str(k)))
@@ -64,3 +55,24 @@ def test_pipeline(spark, tmp_path):
     whole = corpus_pipeline.run(spark, DIR).collect()
     assert {(r.doc_id, r.piece, r.ids_crc32) for r in whole} == {(r.doc_id, r.piece, r.ids_crc32) for r in stage.collect()}
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, repeated ids and rows, clashing columns, and no rows at all."""
+    from test_operators import ODD
+
+    rows = [(i, t, "en", "s", 1, True) for i, t in enumerate(ODD)] + [(None, "some words of it, said twice", None, None, None, None)] * 2
+    rows += [(3, "quite another text with the id of three", "en", "s", 1, False), (3, None, "fr", "s", 0, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept boolean")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DIR)
+        got = out.collect()
+        if name == "packing":
+            assert len({(r.sequence_id, r.offset) for r in got}) == len(got) and sum(r.piece == 0 for r in got) == len(rows)
+        else:
+            assert set(out.columns) == set(docs.columns) and len(got) <= len(rows)
+        if name == "pii":
+            assert len(got) == len(rows)
+        if name in ("exact_dedup", "near_dedup"):
+            assert sum(r.text == "some words of it, said twice" for r in got) == 1 and sum(r.doc_id == 3 and r.text and "three" in r.text for r in got) == 1
+        assert stage(spark, docs.limit(0), DIR).count() == 0
