@@ -376,7 +376,8 @@ def repeated_positions(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ).select("kind.name", "kind.content", "one", "copies", "anchors")
     )
     size = F.col("one.last") - F.col("one.first") + length
-    per_name = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.sum(size).alias("bytes"))
+    # A table of its own, so that the join with it can split a name that has many kinds.
+    per_name = cut(kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.sum(size).alias("bytes")))
     # Equal blocks in several places repeat at each of their positions: only other kinds of the name need an array.
     judged = kinds.join(per_name, "name").withColumn("whole", F.col("copies") > 1)
     asked = judged.where("kinds > 1 or (anchors > 1 and not whole)").withColumn("shards", F.ceil(F.col("bytes") / SHARD_BYTES))
