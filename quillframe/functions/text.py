@@ -28,13 +28,15 @@ def ascii_superscripts(c) -> Column:
 
 def rewrite_scientific(c) -> Column:
     """`2.5×10³` to `2.5 x 10e3`; the exponent is whatever digits follow, as the pattern reads them."""
-    marked = F.regexp_replace(F.translate(column(c), OPEN + CLOSE, ""), "(?U)" + SCIENTIFIC, f"$1 x 10e{OPEN}$2{CLOSE}")
+    plain = F.translate(column(c), OPEN + CLOSE, "")
+    marked = F.regexp_replace(plain, "(?U)" + SCIENTIFIC, f"$1 x 10e{OPEN}$2{CLOSE}")
     parts = F.transform(F.split(marked, f"[{OPEN}{CLOSE}]"), lambda p, i: F.when(i % 2 == 1, ascii_superscripts(p)).otherwise(p))
-    return F.array_join(parts, "")
+    # Most texts have no power of ten and skip the pattern.
+    return F.when(F.contains(plain, F.lit("10")), F.array_join(parts, "")).otherwise(plain)
 
 
 def strip_thousands(c) -> Column:
-    return F.regexp_replace(column(c), "(?U)" + THOUSANDS, "")
+    return F.when(F.contains(column(c), F.lit(",")), F.regexp_replace(column(c), "(?U)" + THOUSANDS, "")).otherwise(column(c))
 
 
 def outside(characters: str) -> str:

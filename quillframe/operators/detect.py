@@ -84,10 +84,11 @@ def merged(pages: DataFrame, spans: str = "spans") -> DataFrame:
     groups = each.select("*", F.posexplode_outer("fold.last").alias("grp", "__last")).where("grp is not null")
     groups = once(groups.select(*keep, "grp", "zipped"), members=F.transform(own, lambda z: z["s"])).drop("zipped")
     ordered = F.array_sort(F.transform("members", lambda m: F.struct(m["y0"], m["x0"], m["ord"], m["text"])))
-    text = sanitize_form(F.array_join(F.transform(ordered, lambda m: m["text"]), " "))
+    joined = F.array_join(F.transform(ordered, lambda m: m["text"]), " ")
     end = lambda f, k: f(F.transform("members", lambda m: m[k]))
     box = {k: end(F.array_min, k) - 1 for k in ("x0", "y0")} | {k: end(F.array_max, k) + 1 for k in ("x1", "y1")}
-    return once(groups, **box, text=text).drop("members").where("text <> ''")
+    groups = once(groups, **box, joined=joined).drop("members")
+    return once(groups, text=sanitize_form("joined")).drop("joined").where("text <> ''")
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
