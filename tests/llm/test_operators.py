@@ -212,6 +212,18 @@ def test_packing(spark):
     assert packing.op3_best_fit_packing(documents(spark, ["a", "a"], [1, 1])).select("sequence_id", "offset").distinct().count() == 2
 
 
+def test_packing_hot_lengths_and_equal_rows(spark):
+    """One row three thousand times over: every copy gets a place of its own, in as few sequences as there can be."""
+    rows = [(None if i % 3 else 7, 0, 0, 3, 5) for i in range(3000)] + [(i, 0, 0, 700 + i, 5) for i in range(40)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    got = packing.pack(packing.cut(pieces), 2048).collect()
+    places = {(r.sequence_id, r.offset) for r in got}
+    used = collections.Counter()
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert len(got) == len(places) == 3040 and max(used.values()) <= 2048 and len(used) <= -(-sum(r[3] for r in rows) // 2048) + 2
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_sweep_is_best_fit(seed):
     """The sweep over runs uses as many sequences as best-fit over single pieces."""
