@@ -83,7 +83,7 @@ def merged(pages: DataFrame, spans: str = "spans") -> DataFrame:
     own = F.filter("zipped", lambda z: z["g"] == F.col("grp") + 1)
     groups = each.select("*", F.posexplode_outer("fold.last").alias("grp", "__last")).where("grp is not null")
     groups = once(groups.select(*keep, "grp", "zipped"), members=F.transform(own, lambda z: z["s"])).drop("zipped")
-    ordered = F.array_sort(F.transform("members", lambda m: F.struct(m["y0"], m["x0"], m["ord"], m["text"])))
+    ordered = F.sort_array(F.transform("members", lambda m: F.struct(m["y0"], m["x0"], m["ord"], m["text"])))
     joined = F.array_join(F.transform(ordered, lambda m: m["text"]), " ")
     end = lambda f, k: f(F.transform("members", lambda m: m[k]))
     box = {k: end(F.array_min, k) - 1 for k in ("x0", "y0")} | {k: end(F.array_max, k) + 1 for k in ("x1", "y1")}
@@ -93,7 +93,7 @@ def merged(pages: DataFrame, spans: str = "spans") -> DataFrame:
 
 def merge_spans(spans: DataFrame) -> DataFrame:
     """(pair_id, page, grp, x0, y0, x1, y1, text): adjacent spans merged into cells, by greedy first fit."""
-    return merged(spans.groupBy(*PAGE).agg(F.array_sort(F.collect_list(merge_order())).alias("spans")))
+    return merged(spans.groupBy(*PAGE).agg(F.sort_array(F.collect_list(merge_order())).alias("spans")))
 
 
 def label_pages(spans: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def occurrences(labels: Column, near_black_first: bool) -> Column:
     item = lambda s: F.struct(s["y0"], s["x0"], s["ord"], s["x1"], s["y1"])
     black = F.filter(labels, lambda s: s["black"])
     chosen = F.when(F.size(black) > 0, black).otherwise(labels) if near_black_first else labels
-    return F.aggregate(F.array_sort(F.transform(chosen, item)), F.array().cast("array<struct<y0:double,x0:double,ord:bigint,x1:double,y1:double>>"), keep_apart)
+    return F.aggregate(F.sort_array(F.transform(chosen, item)), F.array().cast("array<struct<y0:double,x0:double,ord:bigint,x1:double,y1:double>>"), keep_apart)
 
 
 def label_instances(spans: DataFrame, near_black_first: bool) -> DataFrame:
@@ -158,7 +158,7 @@ def nearest(found: Column, x0: Column, y0: Column) -> Column:
 def instance_index(anchors: DataFrame, instances: DataFrame, key: str = "grp") -> DataFrame:
     """(pair_id, page, key, label, i, s_x0, s_y0): the occurrence that an anchor is, or the nearest by y, then x."""
     a = anchors.withColumn("label", norm("a_text")).where("label <> ''").select(*PAGE, key, "label", "a_x0", "a_y0")
-    found = instances.groupBy(*PAGE, "label").agg(F.array_sort(F.collect_list(F.struct("i", "x0", "y0"))).alias("found"))
+    found = instances.groupBy(*PAGE, "label").agg(F.sort_array(F.collect_list(F.struct("i", "x0", "y0"))).alias("found"))
     m = nearest(F.col("found"), F.col("a_x0"), F.col("a_y0"))
     return once(a.join(found, [*PAGE, "label"]), m=m).select(*PAGE, key, "label", F.col("m.i").alias("i"), F.col("m.x0").alias("s_x0"), F.col("m.y0").alias("s_y0"))
 
@@ -226,7 +226,7 @@ def placed_fills(synth: DataFrame, tmpl: DataFrame, pages: DataFrame) -> DataFra
     """The merged fills of the shared pages, with label and field as `placed` has them; spans are dealt by page once."""
     blue = is_blue(F.col("color"))
     fill, label = F.when(blue & shown(), merge_order()), F.when(~blue, label_item())
-    whole = synth.groupBy(*PAGE).agg(F.array_sort(F.collect_list(fill)).alias("spans"), F.collect_list(label).alias("labels"))
+    whole = synth.groupBy(*PAGE).agg(F.sort_array(F.collect_list(fill)).alias("spans"), F.collect_list(label).alias("labels"))
     return placed(merged(whole).where("x1 - x0 >= 2 and y1 - y0 >= 2"), tmpl, pages)
 
 
