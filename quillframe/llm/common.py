@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -58,6 +60,8 @@ def sliced(batches, rows: int = 256):
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:

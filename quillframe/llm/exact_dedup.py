@@ -54,6 +54,8 @@ def run_stream(spool: DataFrame, path: str, files_per_trigger: int) -> DataFrame
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
         # A store leaves its executor when its task is done, so that disk and memory hold a few stores, not all.
         "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
     }.items():
         own.conf.set(k, v)
     stream = own.readStream.schema(spool.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}/spool")

@@ -25,6 +25,8 @@ from .common import cut, sliced, small
 from .remembered import Remembered, text_bytes
 
 CAPACITY, SEPARATOR = 2048, 0
+#: Chunks that a Python worker remembers with their ids (some 10 MB).
+REMEMBERED = 250_000
 #: Chunks of these characters only: composed letters, so NFC changes nothing and letters, digits and signs are plain.
 PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]*\Z")
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u017e]+|[0-9]|[^\sa-z0-9\u00c0-\u017e]+")
@@ -53,7 +55,7 @@ class Chunks:
         self.tok = Tokenizer.from_file(path)
         # A byte above 126 as the letter that byte-level vocabularies write for it.
         self.letters = {i: c for i, c in enumerate(byte_letters()) if i > 126}
-        self.remembered = Remembered(self.encode)
+        self.remembered = Remembered(self.encode, REMEMBERED)
 
     def word(self, word: str) -> list[int]:
         """A lower-case word of the tokenizer's own splitting."""
@@ -188,4 +190,5 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
 
 
 def op3_best_fit_packing(docs: DataFrame) -> DataFrame:
+    """Pieces with their places; edge cases as in pieces and pack."""
     return pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -35,9 +35,9 @@ def steps(counts: np.ndarray) -> np.ndarray:
 
 
 class Remembered:
-    def __init__(self, make: Make):
+    def __init__(self, make: Make, most: int | None = None):
         """make: ids of distinct parts, one after the other, and how many each has."""
-        self.make = make
+        self.make, self.most = make, most or MOST
         self.forget()
 
     def forget(self) -> None:
@@ -49,7 +49,7 @@ class Remembered:
         stay = np.flatnonzero(self.again)
         key, check, n, at, ids = self.key[stay], self.check[stay], self.n[stay], self.at[stay], self.ids
         self.forget()
-        if 2 * len(stay) <= MOST:
+        if 2 * len(stay) <= self.most:
             self.add(key, check, ids[np.repeat(at, n) + steps(n)], n)
 
     def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
@@ -87,7 +87,7 @@ class Remembered:
         near = np.concatenate([data[f[one] + np.minimum(i, s[one] - 1)] for i in range(8)]).reshape(8, -1).astype(np.uint64)
         head = sum(near[i] << np.uint64(8 * i) for i in range(8)) & OWN[np.minimum(s[one], 8)] if len(one) else np.zeros(0, np.uint64)
         check = head ^ s[one].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        if len(self.key) > MOST:
+        if len(self.key) > self.most:
             self.shrink()
         at = self.find(low, check)
         self.again[at[at >= 0]] = True
