@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -54,6 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark clear the files of shuffles and checkpoints that no plan refers to any more, as it does after a collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sliced(batches, rows: int = 256):
     """The batches in slices of a few rows, so that a Python worker holds few texts at a time; then gives memory back."""
     for b in batches:

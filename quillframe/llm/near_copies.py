@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, remove, sliced, small, workspace
+from .common import components, cut, remove, sliced, small, tidy, workspace
 from .simhash import links as fingerprint_links
 
 WORDS, SIMILARITY = 5, 0.8
@@ -168,7 +168,10 @@ def near_copies(texts: DataFrame, folder: str, words: int = WORDS, similarity: f
 
     def saved(df):
         df.write.parquet(path := f"{folder}/{next(names)}")
-        return spark.read.schema(df.schema).parquet(path)
+        schema = df.schema
+        del df
+        tidy(spark)
+        return spark.read.schema(schema).parquet(path)
 
     first = saved(prefixes(texts, frequent(texts, words), words, least))
     fps = saved(first.where(F.col("at") == FINGERPRINT).select(F.col("sh").alias("fp"), "node").distinct())
