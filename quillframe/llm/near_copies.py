@@ -5,9 +5,11 @@
    acos(2 J / (1 + J)) / pi, which is 0.15 at a similarity J of 0.8, some ten bits of 64, beyond any radius of few keys.
 2. Prefixes find the rest without losing a pair: of two sets that similar, ordered alike, the first n - ceil(0.8 n) + 1
    shingles of each have one in common. Shingles found often in a sample of texts are ordered last, so that common lines
-   seldom are in a prefix; the order has no part in the result. Candidates are verified on the whole sets.
+   seldom are in a prefix, and before them those of frequent words, which texts share by chance; the order has no part in
+   the result. Candidates are verified on the whole sets.
 
-Pairs within a group are not all drawn: links to the centres of groups come first, and then only pairs between components.
+Pairs within a group are not all drawn: a shingle of many texts links them to a centre, round by round, and then only pairs
+between components are drawn. A shingle with few pairs left has them drawn at once and takes no part in later rounds.
 """
 
 from __future__ import annotations
@@ -20,32 +22,51 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import components, cut, remove, sliced, small, tidy, workspace
 from .simhash import links as fingerprint_links
 
 WORDS, SIMILARITY = 5, 0.8
 #: Texts and shingles of the sample that orders the shingles: bounds of its cost, with no part in the result.
 SAMPLE, OFTEN, HEAVY = 8_000, 4, 200_000
-#: Rounds of links to centres, and pairs a prefix row that end them sooner.
+#: The sample is at least one text in so many, so that shingles it misses have few texts whatever the size of the corpus.
+SHARE = 32
+#: Bins of word hashes whose weights order the shingles.
+WORD_BINS = 1 << 16
+#: Bits that tell wanted texts from others.
+NODE_BITS = 1 << 24
+#: Most rounds of links to centres (one that doesn't halve the pairs left is the last), and pairs a prefix row up to which all pairs, of a shingle or of all of them, are drawn at once.
 STARS, FEW = 6, 4
 PAIR = "a long, b long"
 #: Marks the row of a text that holds its fingerprint.
 FINGERPRINT = -1
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; a shorter text is one shingle, one without words is zero."""
+def word_hashes(text: str | None) -> np.ndarray:
     split = (text or "").encode("utf-8", "replace").lower().split()
-    if not split:
-        return np.zeros(1, np.uint64)
-    w = np.fromiter(map(xxhash.xxh64_intdigest, split), np.uint64, len(split))
-    n = max(1, len(split) - words + 1)
-    h = np.zeros(n, np.uint64)
-    for i in range(min(words, len(split))):
+    return np.fromiter(map(xxhash.xxh64_intdigest, split), np.uint64, len(split))
+
+
+def weighed_shingles(text: str | None, words: int = WORDS, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of a text's word shingles, and the sum of the weights of each one's words; a shorter text is one
+    shingle, one without words is zero."""
+    w = word_hashes(text)
+    if not len(w):
+        return np.zeros(1, np.uint64), np.zeros(1, np.int64)
+    n = max(1, len(w) - words + 1)
+    h, weight = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    of = np.zeros(len(w), np.int64) if weights is None else weights[(w & np.uint64(len(weights) - 1)).astype(np.int64)]
+    for i in range(min(words, len(w))):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n]
+        weight += of[i : i + n]
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(h ^ (h >> np.uint64(31)))
+    h, at = np.unique(h ^ (h >> np.uint64(31)), return_index=True)
+    return h, weight[at]
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    return weighed_shingles(text, words)[0]
 
 
 def fingerprint(sh: np.ndarray) -> int:
@@ -66,38 +87,50 @@ def noded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("node"), text.alias("text"))
 
 
-def frequent(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample have, sorted, and in how many."""
+def frequent(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a sample: shingles that several texts have, sorted, and in how many; and weights of words, by bins of their hashes."""
 
     def run(batches):
         for b in sliced(batches):
             out = [shingles(t, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64))], ["sh"])
 
-    share = max(1, texts.count() // SAMPLE)
-    found = texts.where(F.pmod("node", F.lit(share)) == 0).mapInArrow(run, "sh long").groupBy("sh").count().where(F.col("count") >= OFTEN)
+    def histogram(batches):
+        for b in sliced(batches):
+            out = [np.zeros(0, np.uint64), *map(word_hashes, b.column(1).to_pylist())]
+            bins, n = np.unique(np.concatenate(out) & np.uint64(WORD_BINS - 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins.view(np.int64)), pa.array(n)], ["bin", "n"])
+
+    share = min(max(1, texts.count() // SAMPLE), SHARE)
+    sample = texts.where(F.pmod("node", F.lit(share)) == 0)
+    found = sample.mapInArrow(run, "sh long").groupBy("sh").count().where(F.col("count") >= OFTEN)
     t = found.orderBy(F.desc("count"), "sh").limit(HEAVY).toArrow()
     sh, n = t.column("sh").to_numpy().view(np.uint64), t.column("count").to_numpy()
     order = np.argsort(sh)
-    return sh[order], n[order]
+    t = sample.mapInArrow(histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    weights = np.zeros(WORD_BINS, np.int64)
+    weights[t.column("bin").to_numpy()] = 4 * np.log2(1 + t.column("n").to_numpy())
+    return sh[order], n[order], weights
 
 
-def prefixes(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int, least: Fraction) -> DataFrame:
+def prefixes(texts: DataFrame, often: tuple[np.ndarray, np.ndarray, np.ndarray], words: int, least: Fraction) -> DataFrame:
     """(sh, node, at): the fingerprint of each text (at is FINGERPRINT), and its first shingles; at then holds the text's number
     of shingles and the place, 32 bits each."""
     held = texts.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
-        heavy, count = held.value
+        heavy, count, weights = held.value
         for b in sliced(batches):
             out = [(np.zeros(0, np.int64),) * 3]
             for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sh = shingles(t, words)
+                sh, weight = weighed_shingles(t, words, weights)
                 n = len(sh)
                 out.append((np.array([fingerprint(sh)]), np.array([node]), np.array([FINGERPRINT])))
+                known = 0
                 if len(heavy):
                     i = np.minimum(np.searchsorted(heavy, sh), len(heavy) - 1)
-                    sh = sh[np.lexsort((sh, np.where(heavy[i] == sh, count[i], 0)))]
+                    known = np.where(heavy[i] == sh, count[i], 0)
+                sh = sh[np.lexsort((sh, weight, known + np.zeros(n, np.int64)))]
                 p = n - -(-least.numerator * n // least.denominator) + 1
                 out.append((sh[:p].view(np.int64), np.full(p, node, np.int64), n << 32 | np.arange(p)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["sh", "node", "at"])
@@ -129,34 +162,54 @@ def may_be_similar(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
     return bool(least.denominator * both >= least.numerator * (x.sum() + y.sum() - both))
 
 
-def beside(pairs: DataFrame, texts: DataFrame, make, kind: pa.DataType, sql: str, words: int) -> DataFrame:
-    """The pairs (a, b) with x and y: what make gives of their texts' shingles."""
+def similar(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return bool(least.denominator * both >= least.numerator * (len(x) + len(y) - both))
 
-    def made(batches):
-        for b in sliced(batches):
-            out = [make(shingles(t, words)) for t in b.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            values = pa.array(np.concatenate(out) if out else np.zeros(0), kind)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["node", "sh"])
 
-    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    found = cut(texts.join(small(wanted), "node", "left_semi").mapInArrow(made, f"node long, sh array<{sql}>").dropDuplicates(["node"]))
-    a, b = found.select(F.col("node").alias("a"), F.col("sh").alias("x")), found.select(F.col("node").alias("b"), F.col("sh").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
+def of_nodes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the wanted nodes. Where those are too many to broadcast, bits of them first keep most other texts from the shuffle."""
+    if (n := wanted.count()) <= common.BROADCAST_ROWS:
+        return texts.join(F.broadcast(wanted), "node", "left_semi")
+    bins = wanted.select(F.pmod("node", F.lit(NODE_BITS)).alias("h")).selectExpr("h div 64 as word", "shiftleft(1L, cast(h % 64 as int)) as bit")
+    t = bins.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(NODE_BITS // 64, np.int64)
+    bits[t.column("word").to_numpy()] = t.column("bits").to_numpy()
+    held = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for b in batches:
+            h = b.column(0).to_numpy() % NODE_BITS
+            yield b.filter(pa.array((held.value[h >> 6] >> (h & 63) & 1).astype(bool)))
+
+    return texts.mapInArrow(run, "node long, text string").join(small(wanted, n), "node", "left_semi")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction, saved) -> DataFrame:
     """The pairs (a, b) of similar texts; whole sets move only for those that counts by bins leave."""
 
-    def check(batches):
-        for b in sliced(batches, 2048):
-            x, y = ([np.array(s) for s in c.to_pylist()] for c in b.columns[2:])
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array([may_be_similar(*p, least) for p in zip(x, y)], pa.bool_()))
+    def sets(batches):
+        for b in sliced(batches):
+            out = [shingles(t, words) for t in b.column(1).to_pylist()]
+            few, whole = ([x.tobytes() for x in xs] for xs in (map(counts, out), out))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(few, pa.binary()), pa.array(whole, pa.binary())], ["node", "few", "whole"])
+
+    def check(judge, kind):
+        def run(batches):
+            for b in sliced(batches):
+                x, y = ([np.frombuffer(s, kind) for s in c.to_pylist()] for c in b.columns[2:])
+                yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array([judge(*p, least) for p in zip(x, y)], pa.bool_()))
+
+        return run
 
-    left = cut(beside(pairs, texts, lambda sh: counts(sh).astype(np.int16), pa.int16(), "smallint", words).mapInArrow(check, PAIR))
-    both = F.size(F.array_intersect("x", "y"))
-    similar = least.denominator * both >= least.numerator * (F.size("x") + F.size("y") - both)
-    return beside(left, texts, lambda sh: sh.view(np.int64), pa.int64(), "bigint", words).where(similar).select("a", "b")
+    def beside(pairs, column):
+        a, b = (found.select(F.col("node").alias(c), F.col(column).alias(d)) for c, d in ("ax", "by"))
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
+
+    wanted = saved(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    found = saved(of_nodes(texts, wanted).mapInArrow(sets, "node long, few binary, whole binary").dropDuplicates(["node"]))
+    left = saved(beside(pairs, "few").mapInArrow(check(may_be_similar, np.uint8), PAIR))
+    return saved(beside(left, "whole").mapInArrow(check(similar, np.uint64), PAIR))
 
 
 def near_copies(texts: DataFrame, folder: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -180,36 +233,42 @@ def near_copies(texts: DataFrame, folder: str, words: int = WORDS, similarity: f
     ends = [one.select(F.col("fp").alias(c), F.col("one").alias(f"of_{c}")) for c in "ab"]
     near = fingerprint_links(one).join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     tested = saved(equal.union(near))
-    links = saved(verified(tested, texts, words, least))
-    roots, new = saved(components(links)), True
+    links = verified(tested, texts, words, least, saved)
+    roots = saved(components(links))
     # Only shingles of several texts matter.
     rows = first.where(F.col("at") != FINGERPRINT)
     several = rows.groupBy("sh").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sh")
     rows = saved(rows.join(several, "sh", "left_semi").distinct())
-    total = rows.count()
+    total, now = rows.count(), float("inf")
     for k in range(STARS + 1):
         of = saved(rows.join(roots, "node", "left").select("sh", "node", "at", F.coalesce("root", "node").alias("c")))
-        sizes = of.groupBy("sh", "c").agg(F.count("*").alias("n")).groupBy("sh").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        left = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n") - F.col("same")) / 2).first()[0] or 0
-        last = k == STARS or not new or left <= FEW * total
-        if last:
-            other = of.select("sh", F.col("node").alias("node_"), F.col("at").alias("at_"), F.col("c").alias("c_"))
-            apart = F.col("node") < F.col("node_")
-        else:
-            far = F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "at", "c")).alias("m")
-            other = of.groupBy("sh").agg(far).select("sh", F.col("m.node").alias("node_"), F.col("m.at").alias("at_"), F.col("m.c").alias("c_"))
-            apart = F.lit(True)
-        pairs = of.join(other, "sh").where((F.col("c") != F.col("c_")) & apart & possible("at", "at_", least))
-        pairs = pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
-        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = saved(verified(pairs, texts, words, least))
-        new = not found.isEmpty()
-        if new:
-            links = links.union(found)
+        # A text with few shingles of its own before a common one is near the middle of its group.
+        place = F.col("at").bitwiseAND(0xFFFFFFFF) if k == 0 else F.lit(0)
+        centre = F.min(F.struct(place.alias("place"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "at", "c")).alias("m")
+        sizes = of.groupBy("sh", "c").agg(F.count("*").cast("double").alias("n"), centre)
+        sizes = sizes.groupBy("sh").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.min("m").alias("m"))
+        pairs_left = (F.col("n") * F.col("n") - F.col("same")) / 2
+        left = sizes.where(pairs_left > 0).select("sh", "n", pairs_left.alias("left"), F.col("m.node").alias("node_"), F.col("m.at").alias("at_"), F.col("m.c").alias("c_"))
+        left = saved(left)
+        before, now = now, left.agg(F.sum("left")).first()[0] or 0
+        last = k == STARS or now <= FEW * total or 2 * now > before
+        left = left.select("sh", (F.lit(not last) & (F.col("left") > FEW * F.col("n"))).alias("many"), "node_", "at_", "c_")
+        stars = of.join(left.where("many"), "sh")
+        rest = of.join(left.where("not many").select("sh"), "sh", "left_semi")
+        other = rest.select("sh", F.col("node").alias("node_"), F.col("at").alias("at_"), F.col("c").alias("c_"))
+        drawn = []
+        for some in (stars, rest.join(other, "sh").where("node < node_")):
+            some = some.where((F.col("c") != F.col("c_")) & possible("at", "at_", least))
+            drawn.append(some.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")))
+        pairs = saved(drawn[0].union(drawn[1]).distinct().join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            found = verified(pairs, texts, words, least, saved)
+            links, tested = links.union(found), tested.union(pairs)
             roots = saved(components(links))
-        tested = tested.union(pairs)
         if last:
             return roots
+        # Shingles of which all pairs were drawn are done; only the large ones go on to the next round.
+        rows = saved(rows.join(left.where("many").select("sh"), "sh", "left_semi"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

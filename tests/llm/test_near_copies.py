@@ -74,3 +74,38 @@ def test_most_planted_near_copies_are_found_by_keys_or_prefixes(spark):
     got = corpus_pipeline.near_dedup(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "")
     assert len(set(roots)) < len(docs)
     assert sorted(r.doc_id for r in got.collect()) == sorted(docs[i].doc_id for i in set(roots))
+
+
+def grouped():
+    """A text and 150 copies with two words changed, similar to it but not to each other; and a hundred pairs of near copies."""
+    r, out = random.Random(9), []
+    text = lambda: [f"w{r.randrange(10**6)}" for _ in range(100)]
+    changed = lambda words, n: " ".join(f"x{r.randrange(10**6)}" if i in at else w for at in [r.sample(range(6, 94), n)] for i, w in enumerate(words))
+    base = text()
+    out += [changed(base, 2) for _ in range(75)] + [" ".join(base)] + [changed(base, 2) for _ in range(75)]
+    for _ in range(100):
+        words = text()
+        out += [" ".join(words), changed(words, 1)]
+    return out
+
+
+def test_later_rounds_hold_only_large_groups(spark, tmp_path):
+    """A shingle takes no further part once all its pairs are drawn; the text in the middle of a group links it at once."""
+    texts = grouped()
+    nodes = near_copies.noded(documents(spark, texts)).select("node", "text")
+    got = near_copies.near_copies(nodes, str(tmp_path / "tables"))
+    node = {r.text: r.node for r in nodes.collect()}
+    of = {r.node: r.root for r in got.collect()}
+    roots = brute_roots(texts)
+    groups = lambda keys: {frozenset(i for i, k in enumerate(keys) if k == key) for key in set(keys)}
+    assert groups([of.get(node[t], node[t]) for t in texts]) == groups(roots)
+    tables = [spark.read.parquet(str(p)) for p in sorted((tmp_path / "tables").iterdir(), key=lambda p: int(p.name))]
+    rows = [t.count() for t in tables if t.columns == ["sh", "node", "at", "c"]]
+    assert len(rows) > 1 and sum(rows) < 1.6 * rows[0]
+
+
+def test_many_texts_are_asked_for_by_bits(spark, monkeypatch):
+    monkeypatch.setattr(near_copies.common, "BROADCAST_ROWS", 0)
+    texts = edited()
+    got = corpus_pipeline.near_dedup(spark, documents(spark, texts), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(brute_roots(texts)))
