@@ -9,6 +9,9 @@ later, shorter rules see what is left. Everything happens within a row: there is
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,6 +168,8 @@ ENDS = r"([.!?;]|conditions:|are met:|restrictions:|following:)[ \t\r\n]+"
 NOTHING = 3
 #: Words that tell the beginning of a known sentence, and the least words of sentences that may be wrapped.
 OPENING, WRAPPED = 4, 6
+#: Letters of a word that a text is searched for by itself, and words searched for together where a sentence has no such word.
+TELLING, TOGETHER = 5, 3
 
 
 def normalised_sentences(text: str) -> list[str]:
@@ -191,6 +196,17 @@ def openings(sentences: dict[str, list[str]]) -> str:
     return "|".join(["copyright[^a-z0-9\\n]+(?:c[^a-z0-9]|[0-9])", *("[^a-z0-9]+".join(o.split()) for o in sorted(first))])
 
 
+def anchors(normalised) -> list[list[str]]:
+    """Few words such that each normalised sentence has all words of one entry; mostly entries of one word."""
+    left, out = [s.split() for s in sorted(normalised)], []
+    while left:
+        n = Counter(w for words in left for w in set(words) if len(w) >= TELLING)
+        entry = [max(n, key=lambda w: (n[w], len(w), w))] if n else sorted(set(left[0]), key=lambda w: (-len(w), w))[:TOGETHER]
+        out.append(entry)
+        left = [words for words in left if not set(entry) <= set(words)]
+    return out
+
+
 def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """(doc_id, by_line string, by_sentence string, licenses array) for each row.
 
@@ -199,17 +215,23 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
     stay apart from it). by_line and by_sentence: the identifiers found, joined by `|`, `-` where unknown sentences stand before,
     between or after them; empty if there are none. licenses: those of both readings, each once, by name. Null and empty texts have
     none; whole texts of any length are read; repeated rows and null ids stay; extra columns, whatever their names, are ignored.
+
+    A word of a known sentence stands in the text as it is, but for its case: texts without any entry of anchors have no known sentence
+    in either reading, which is that of empty texts, so they are not cut up.
     """
     ids = known(sentences or SENTENCES)
     rules = rules or RULES
     lookup = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
-    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    may_have = reduce(or_, (reduce(and_, (F.contains("lower", F.lit(w)) for w in words)) for words in anchors(ids)), F.lit(False))
     ended = lambda t: F.regexp_replace(t, ENDS, "$1\n")
     split = lambda t: F.transform(F.split(F.regexp_replace(t, r"[^a-z0-9\n]+", " "), "\n"), lambda x: F.trim(x))
     blank = F.regexp_replace("low", r"\n[^a-z0-9\n]*\n", "\u0001")
     opened = F.regexp_replace(blank, rf"\n([^a-z0-9\n\x01]*)({openings(sentences or SENTENCES)})", "\u0001$1$2")
     wrapped = F.translate(opened, "\n\u0001", " \n")
-    read = docs.select("doc_id", low.alias("low")).select("doc_id", split(ended(F.col("low"))).alias("lines"), split(ended(wrapped)).alias("wrapped"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.select("doc_id", "text", F.lower("text").alias("lower"))
+    read = texts.select("doc_id", F.when(may_have, low).otherwise("").alias("low")).select("doc_id", split(ended(F.col("low"))).alias("lines"), split(ended(wrapped)).alias("wrapped"))
 
     def identified(c: str):
         found = F.transform(F.filter(c, lambda x: F.length(x) > NOTHING), lambda x: F.when(x.isin(list(ids)), lookup[x]).otherwise("-"))

@@ -329,6 +329,20 @@ def test_licenses(spark):
     assert licenses.op5_license_scan(documents(spark, [])).count() == 0
 
 
+def test_licence_anchors(spark):
+    """Each known sentence, in any case and with other signs between its words, passes the search for words that tell; a text with the
+    words of an entry apart from any sentence has no licence; sentences of short words alone are searched for by several."""
+    ids = licenses.known(licenses.SENTENCES)
+    entries = licenses.anchors(ids)
+    assert all(any(set(e) <= set(s.split()) for e in entries) for s in ids) and len(entries) < 20
+    assert licenses.anchors(["you may do it", "x"]) == [["x"], ["may", "you", "do"]]
+    texts = [f"Etwas.\n{s.upper().replace(' ', ' *-* ')}\nÉté." for s in ids] + ["just WHAT they want", "Distribution without software: İ ſ K", None]
+    got = {r.doc_id: r.by_line for r in licenses.scan(documents(spark, texts)).collect()}
+    assert [got[i].strip("-|") for i in range(len(texts))] == [*ids.values(), "", "", ""]
+    own = licenses.scan(documents(spark, ["Foo BAR.", "foo", "x"]), {"A": ["foo bar"], "B": ["X y Z"]}, [("L", ["A"])])
+    assert sorted((r.doc_id, r.by_line, r.licenses) for r in own.collect()) == [(0, "A", ["L"]), (1, "", []), (2, "", [])]
+
+
 LAYOUTS = [("", "\n\n", 0), ("", "\n\n", 72), ("", "\n\n", 40), ("# ", "\n#\n", 60), (" * ", "\n *\n", 76), ("// ", "\n//\n", 50), ("", "\n", 70)]
 
 
