@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import components, cut, remove, sliced, small, tidy, workspace
+from .common import components, cut, give_back, remove, sliced, small, tidy, workspace
 from .simhash import links as fingerprint_links
 
 WORDS, SIMILARITY = 5, 0.8
@@ -206,6 +206,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction, sa
         a, b = (found.select(F.col("node").alias(c), F.col(column).alias(d)) for c, d in ("ax", "by"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
 
+    give_back(pairs.sparkSession)
     wanted = saved(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     found = saved(of_nodes(texts, wanted).mapInArrow(sets, "node long, few binary, whole binary").dropDuplicates(["node"]))
     left = saved(beside(pairs, "few").mapInArrow(check(may_be_similar, np.uint8), PAIR))
@@ -241,6 +242,7 @@ def near_copies(texts: DataFrame, folder: str, words: int = WORDS, similarity: f
     rows = saved(rows.join(several, "sh", "left_semi").distinct())
     total, now = rows.count(), float("inf")
     for k in range(STARS + 1):
+        give_back(spark)
         of = saved(rows.join(roots, "node", "left").select("sh", "node", "at", F.coalesce("root", "node").alias("c")))
         # A text with few shingles of its own before a common one is near the middle of its group.
         place = F.col("at").bitwiseAND(0xFFFFFFFF) if k == 0 else F.lit(0)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillframe.llm import chat, exact_dedup, langid, licenses, packing, pii, sentencepiece_fst, simhash, suffix_dedup, topk
+from quillframe.llm import chat, common, exact_dedup, langid, licenses, packing, pii, sentencepiece_fst, simhash, suffix_dedup, topk
 from quillframe.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, kept boolean, name string"
@@ -300,6 +300,30 @@ def test_bounds_hold_and_skip_annuli():
     assert (reach < floor[:, None]).mean() > 0.5
 
 
+def test_memory_given_back(spark, monkeypatch):
+    """Tasks collect the garbage of their JVM; each stage of the pipeline begins with that, on a cluster on all cores."""
+    import corpus_pipeline
+
+    def full():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName())
+
+    before = full()
+    common.collect_on_executors(spark, 2)
+    assert full() >= before + 2
+    asked = []
+    monkeypatch.setattr(common, "collect_on_executors", lambda s, n: asked.append(n))
+    for master in ("local-cluster[3,2,1024]", "local[4]", "local"):
+        monkeypatch.setattr(spark.sparkContext, "master", master)
+        common.give_back(spark)
+    assert asked == [spark.sparkContext.defaultParallelism]
+    begun = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", begun.append)
+    empty = documents(spark, [])
+    for _, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[3:]:
+        stage(spark, empty, "")
+    assert len(begun) == 3
+
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
