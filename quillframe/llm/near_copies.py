@@ -186,13 +186,7 @@ def of_nodes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction, saved) -> DataFrame:
-    """The pairs (a, b) of similar texts; whole sets move only for those that counts by bins leave."""
-
-    def sets(batches):
-        for b in sliced(batches):
-            out = [shingles(t, words) for t in b.column(1).to_pylist()]
-            few, whole = ([x.tobytes() for x in xs] for xs in (map(counts, out), out))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(few, pa.binary()), pa.array(whole, pa.binary())], ["node", "few", "whole"])
+    """The pairs (a, b) of similar texts; whole sets are made and move only for those that counts by bins leave."""
 
     def check(judge, kind):
         def run(batches):
@@ -202,15 +196,20 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction, sa
 
         return run
 
-    def beside(pairs, column):
-        a, b = (found.select(F.col("node").alias(c), F.col(column).alias(d)) for c, d in ("ax", "by"))
+    def beside(pairs, of):
+        def sets(batches):
+            for b in sliced(batches):
+                out = [of(shingles(t, words)).tobytes() for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["node", "of"])
+
+        wanted = saved(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+        found = saved(of_nodes(texts, wanted).mapInArrow(sets, "node long, of binary").dropDuplicates(["node"]))
+        a, b = (found.select(F.col("node").alias(c), F.col("of").alias(d)) for c, d in ("ax", "by"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
 
     give_back(pairs.sparkSession)
-    wanted = saved(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    found = saved(of_nodes(texts, wanted).mapInArrow(sets, "node long, few binary, whole binary").dropDuplicates(["node"]))
-    left = saved(beside(pairs, "few").mapInArrow(check(may_be_similar, np.uint8), PAIR))
-    return saved(beside(left, "whole").mapInArrow(check(similar, np.uint64), PAIR))
+    left = saved(beside(pairs, counts).mapInArrow(check(may_be_similar, np.uint8), PAIR))
+    return saved(beside(left, np.asarray).mapInArrow(check(similar, np.uint64), PAIR))
 
 
 def near_copies(texts: DataFrame, folder: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -109,3 +109,21 @@ def test_many_texts_are_asked_for_by_bits(spark, monkeypatch):
     texts = edited()
     got = corpus_pipeline.near_dedup(spark, documents(spark, texts), "")
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(brute_roots(texts)))
+
+
+def test_whole_sets_of_possible_pairs_only(spark):
+    """Whole sets are made for texts of pairs that the counts by bins leave, and for no others."""
+    words = [f"w{i}" for i in range(200)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-1], "other"]), 3: " ".join(f"v{i}" for i in range(200)), 4: "short"}
+    tables = []
+
+    def saved(df):
+        tables.append(df.localCheckpoint())
+        return tables[-1]
+
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4)], "a long, b long")
+    found = near_copies.verified(pairs, spark.createDataFrame(list(texts.items()), "node long, text string"), 5, near_copies.exact(0.8), saved)
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+    sets = [{r.node: len(r["of"]) for r in t.collect()} for t in tables if t.columns == ["node", "of"]]
+    assert [sorted(s) for s in sets] == [[1, 2, 3, 4], [1, 2]]
+    assert max(sets[0].values()) < min(sets[1].values()) == 8 * 196
