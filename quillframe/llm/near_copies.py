@@ -217,15 +217,24 @@ def near_copies(texts: DataFrame, folder: str, words: int = WORDS, similarity: f
 
     Tables between rounds go to folder: checkpoints keep the constraints of their plans, which grow from round to round.
     """
-    spark, names, least = texts.sparkSession, iter(range(1000)), exact(similarity)
+    spark, names, least = texts.sparkSession, [], exact(similarity)
 
     def saved(df):
-        df.write.parquet(path := f"{folder}/{next(names)}")
+        names.append(path := f"{folder}/{len(names)}")
+        df.write.parquet(path)
         schema = df.schema
         del df
         tidy(spark)
         return spark.read.schema(schema).parquet(path)
 
+    def linked(pairs):
+        """The similar ones of the pairs; tables that only led to them, sets among these, go at once."""
+        at = len(names)
+        found = verified(pairs, texts, words, least, saved)
+        for path in names[at:-1]:
+            remove(spark, path)
+        return found
+
     first = saved(prefixes(texts, frequent(texts, words), words, least))
     fps = saved(first.where(F.col("at") == FINGERPRINT).select(F.col("sh").alias("fp"), "node").distinct())
     one = saved(fps.groupBy("fp").agg(F.min("node").alias("one")))
@@ -233,7 +242,7 @@ def near_copies(texts: DataFrame, folder: str, words: int = WORDS, similarity: f
     ends = [one.select(F.col("fp").alias(c), F.col("one").alias(f"of_{c}")) for c in "ab"]
     near = fingerprint_links(one).join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     tested = saved(equal.union(near))
-    links = verified(tested, texts, words, least, saved)
+    links = linked(tested)
     roots = saved(components(links))
     # Only shingles of several texts matter.
     rows = first.where(F.col("at") != FINGERPRINT)
@@ -263,7 +272,7 @@ def near_copies(texts: DataFrame, folder: str, words: int = WORDS, similarity: f
             drawn.append(some.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")))
         pairs = saved(drawn[0].union(drawn[1]).distinct().join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            found = verified(pairs, texts, words, least, saved)
+            found = linked(pairs)
             links, tested = links.union(found), tested.union(pairs)
             roots = saved(components(links))
         if last:

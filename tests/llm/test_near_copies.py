@@ -127,3 +127,11 @@ def test_whole_sets_of_possible_pairs_only(spark):
     sets = [{r.node: len(r["of"]) for r in t.collect()} for t in tables if t.columns == ["node", "of"]]
     assert [sorted(s) for s in sets] == [[1, 2, 3, 4], [1, 2]]
     assert max(sets[0].values()) < min(sets[1].values()) == 8 * 196
+
+
+def test_sets_go_when_pairs_are_judged(spark, tmp_path):
+    """Tables of texts' sets, the largest ones, don't stay until the stage ends."""
+    nodes = near_copies.noded(documents(spark, edited())).select("node", "text")
+    assert near_copies.near_copies(nodes, str(tmp_path / "tables")).count()
+    columns = [spark.read.parquet(str(p)).columns for p in (tmp_path / "tables").iterdir()]
+    assert ["sh", "node", "at", "c"] in columns and ["node", "of"] not in columns

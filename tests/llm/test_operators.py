@@ -568,6 +568,33 @@ def test_components(spark):
     assert got == {**{i: 10 for i in range(10, 41)}, 100: 3, 3: 3, 7: 3, **{i: 1000 for i in range(1000, 1030)}}
 
 
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    """A small graph is ended by one task; a large one is contracted until it is small. Results are those of a plain search."""
+    r = random.Random(5)
+    ids = [r.randrange(-(1 << 62), 1 << 62) for _ in range(600)]
+    edges = list(zip(ids[:300], ids[1:300])) + [(ids[300], x) for x in ids[301:400]] + [tuple(r.sample(ids[400:], 2)) for _ in range(130)]
+    near, want = {}, {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    for x in sorted(near):
+        if (todo := [x]) and x not in want:
+            while todo:
+                if (y := todo.pop()) not in want:
+                    want[y] = x
+                    todo += near[y]
+    given = spark.createDataFrame(edges, "a long, b long")
+    jobs = []
+    for most in (common.LINKS, 40):
+        monkeypatch.setattr(common, "LINKS", most)
+        spark.sparkContext.setJobGroup(f"links-{most}", "")
+        got = [(x.node, x.root) for x in components(given).collect()]
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"links-{most}")))
+        assert len(got) == len(want) and dict(got) == want
+    assert jobs[0] <= 8 < jobs[1], jobs
+    assert components(given.limit(0)).count() == 0
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
